@@ -10,8 +10,8 @@ Steps, none of which gathers a group of unbounded size in one task or on the dri
    of their prefixes, so tokens of one set only are dropped at once.
 3. Similar sets are partitioned into groups by the most shared token of their prefix; a group of many tokens is split
    by hash into groups of bounded weight.  The token-group matrix has one row per (token, group).
-4. Two groups are paired if they share a prefix token and their sizes allow the similarity.  When a pair is
-   opened, each query set is first bounded by its overlap with the union of the other group's tokens; only
+4. Two groups are paired if their sizes allow the similarity and their unions of prefix tokens share as many tokens as
+   any pair of their sets must.  When a pair is opened, each query set is first bounded by its overlap with the union of the other group's tokens; only
    sets that pass are counted exactly.  A pair of groups emits a spanning forest of its links, never all pairs.
 5. Connected components over the links give each document the smallest reachable doc_id.
 """
@@ -40,6 +40,11 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def demanded(n: int) -> int:
+    """Prefix tokens that two sets at the similarity share at least, for the smaller one's size (see ``_prefixes``)."""
+    return 1 + n // 20
+
+
 def _digest(tokens: np.ndarray) -> int:
     low = np.add.reduce(textkit.mix(tokens), dtype=np.uint64, keepdims=True)
     high = np.bitwise_xor.reduce(textkit.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True)
@@ -97,6 +102,12 @@ def _scan(words: int, least: int):
 
 
 def _prefixes(words: int, percent: int, hot: np.ndarray):
+    """The first tokens of each set in the global order.
+
+    Sets at the similarity share at least needed(n) tokens of a set of n, so all but needed(n) - k of them lie in its first
+    n - needed(n) + k tokens.  The first min(k, k') shared tokens in the global order therefore lie in both prefixes.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
@@ -107,7 +118,7 @@ def _prefixes(words: int, percent: int, hot: np.ndarray):
                     continue
                 at = np.searchsorted(hot, tokens)
                 late = hot[np.minimum(at, len(hot) - 1)] == tokens if len(hot) else np.zeros(n, bool)
-                take = n - needed(n, percent) + 1
+                take = min(n, n - needed(n, percent) + demanded(n))
                 rare = tokens[~late][:take]
                 common = tokens[late][: take - len(rare)]
                 tokens_out += [rare, common]
@@ -267,20 +278,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     matrix = shared.written(kept.join(df, "token"), "matrix")
     home = matrix.groupBy("k").agg(F.max_by("token", F.struct("df", "token")).alias("m"), F.first("n").alias("n"))
     weight = home.groupBy("m").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(GROUP_TOKENS))).cast("long").alias("parts"))
-    groups = shared.written(
-        home.join(weight, "m").select("k", "n", F.xxhash64("m", F.pmod(F.col("k"), F.col("parts"))).alias("gid")), "groups"
-    )
-    rows = shared.written(
-        matrix.select("token", "k").join(groups, "k").groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "token-groups"
+    # Sets of one group differ in size by less than a factor of two, so that its bounds stay sharp.
+    group = F.xxhash64("m", F.pmod(F.col("k"), F.col("parts")), F.floor(F.log2("n")))
+    groups = shared.written(home.join(weight, "m").select("k", "n", group.alias("gid")), "groups")
+    inner = groups.groupBy("gid").agg(F.count("*").alias("members"), F.min("n").alias("least"))
+    rows = (
+        matrix.select("token", "k").join(groups, "k").groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        .join(inner.select("gid", "least"), "gid")
     )
+    rows = shared.written(rows, "token-groups")
     a, b = rows.alias("a"), rows.alias("b")
     pairs = (
         a.join(b, F.expr(f"a.token = b.token and a.gid < b.gid and a.hi * 100 >= b.lo * {percent} and b.hi * 100 >= a.lo * {percent}"))
-        .select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"))
-        .distinct()
+        .groupBy(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"))
+        .agg(F.count("*").alias("common"), F.min(F.least("a.least", "b.least")).alias("least"))
+        .where(F.expr("common >= 1 + least div 20"))
+        .select("ga", "gb")
     )
-    inner = groups.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    units = shared.written(pairs.unionByName(inner).withColumn("unit", F.xxhash64("ga", "gb")), "units")
+    several = inner.where("members > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
+    units = shared.written(pairs.unionByName(several).withColumn("unit", F.xxhash64("ga", "gb")), "units")
 
     opened = units.select(F.col("ga").alias("gid")).unionByName(units.select(F.col("gb").alias("gid"))).distinct()
     wanted = groups.join(opened, "gid").join(classes.select("k", "low"), "k").select(F.col("low").alias("doc_id"), "k", "gid")

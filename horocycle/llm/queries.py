@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from horocycle.llm import jaccard
+from horocycle.llm import bpe, decontam, jaccard
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,45 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_documents(spark, sf_dir), words=4, percent=85)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public vocabulary file; workers read it from the same installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_counts(_documents(spark, sf_dir), tokenizer_path(), limit=512)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (document, item) with at least 0.8 of the item's 5-word shingles in the document."""
+    return decontam.find_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), words=5, percent=80)
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+), i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM benchmark
+), ds AS (
+  SELECT DISTINCT doc_id, list_slice(w, k, k + 4) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM w WHERE len(w) > 0)
+), s AS (
+  SELECT DISTINCT item_id, list_slice(w, k, k + 4) AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM i WHERE len(w) > 0)
+), n AS (SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_found
+FROM ds JOIN s USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+    return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op6_token_counts": op6_token_counts,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_benchmark_decontamination": OP7_SQL}
