@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from horocycle.llm import bpe, decontam, jaccard
+from horocycle.llm import bpe, decontam, jaccard, langid, linededup, packing, quality, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +35,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 OP7_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents
 ), i AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM benchmark
 ), ds AS (
   SELECT DISTINCT doc_id, list_slice(w, k, k + 4) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM w WHERE len(w) > 0)
 ), s AS (
@@ -49,13 +51,92 @@ GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles
 """
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_documents(spark, sf_dir))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), l AS (
+  SELECT r, source, text, x, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l,
+         len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS words
+  FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS x FROM d)
+), dup AS (
+  SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM l WHERE l <> '' GROUP BY r
+), often AS (
+  SELECT source, l, count(DISTINCT text) AS n FROM l WHERE l <> '' GROUP BY source, l HAVING count(DISTINCT text) >= 10
+), hosts AS (
+  SELECT source, count(DISTINCT text) AS docs FROM documents GROUP BY source
+), above AS (
+  SELECT o.source, l FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE 100 * n >= 5 * docs
+), cut AS (
+  SELECT r, count(*) AS n_removed_lines, sum(words)::BIGINT AS n_removed_words
+  FROM l JOIN above a ON l.source IS NOT DISTINCT FROM a.source AND l.l = a.l GROUP BY r
+), g AS (
+  SELECT r, k, list_slice(w, k, k + 2) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)
+), twice AS (
+  SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM twice) GROUP BY r
+), b AS (
+  SELECT d.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(n_removed_words, 0) AS n_removed_words
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN cut USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_lines, n_removed_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_removed_words <= 80 * n_words AS kept
+FROM b
+"""
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path(), capacity=1024, end_id=2)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "removed")
+
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, k - 1 AS pos, lower(trim(regexp_replace(xs[k], '[\x20\x09-\x0D]+', ' ', 'g'))) AS l
+  FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents))
+), o AS (SELECT *, length(l) AS n FROM l WHERE length(l) >= 40
+), f AS (SELECT l, n, min((doc_id, pos)) AS first FROM o GROUP BY l, n
+), near AS (
+  SELECT b.l, min(a.first) AS other FROM f a JOIN f b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.first < b.first AND levenshtein(a.l, b.l) <= 2 GROUP BY b.l
+), gone AS (
+  SELECT o.doc_id, o.pos FROM o JOIN f USING (l) LEFT JOIN near USING (l) WHERE (o.doc_id, o.pos) <> f.first OR near.other IS NOT NULL
+), r AS (SELECT doc_id, count(*) AS n_removed, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_toxicity": op3_toxicity,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_token_counts": op6_token_counts,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op8_line_dedup": op8_line_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": OP7_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
