@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from horocycle.llm import bpe, decontam, jaccard, langid, linededup, packing, quality, toxicity
+from horocycle.llm import bpe, decontam, jaccard, langid, licenses, linededup, packing, quality, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,26 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: Bytes of a shard in the registered query.
+SHARD_BYTES = 1 << 20
+
+
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir), SHARD_BYTES)
+
+
+OP4_SQL = f"""
+WITH r AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents
+), s AS (
+  SELECT depth, h >> (60 - depth) AS q, sum(n_bytes) AS b FROM r CROSS JOIN (SELECT unnest(range(0, 61))::INTEGER AS depth) GROUP BY ALL
+), d AS (
+  SELECT doc_id, n_bytes, h, min(depth) AS depth FROM r JOIN s ON (r.h >> (60 - s.depth)) = s.q AND s.b <= {SHARD_BYTES} GROUP BY doc_id, n_bytes, h
+)
+SELECT doc_id, n_bytes, substr(to_base(h, 2, 60), 1, depth) AS shard_id, depth FROM d
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path(), capacity=1024, end_id=2)
 
@@ -121,6 +141,10 @@ FROM documents LEFT JOIN r USING (doc_id)
 """
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_documents(spark, sf_dir))
 
@@ -130,13 +154,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_toxicity": op3_toxicity,
+        "op4_extendible_sharding": op4_extendible_sharding,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_token_counts": op6_token_counts,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_line_dedup": op8_line_dedup,
+        "op9_license_scan": op9_license_scan,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_extendible_sharding": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
