@@ -135,23 +135,40 @@ def _prefixes(words: int, percent: int, hot: np.ndarray):
 
 
 def _sets(words: int):
+    """Token sets for ``(k, unit, side, text)``; rows of one text follow one another, so its set is made once."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, last, tokens = _Seen(), None, np.zeros(0, np.uint64)
         for batch in batches:
-            want = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows in range(0, len(want), 256):
-                keep, lists = [], []
-                for i, tokens in enumerate(textkit.shingle_sets(batch.column(2).slice(rows, 256), words), rows):
-                    if len(tokens) and _digest(tokens) == want[i]:
-                        keep.append(i)
-                        lists.append(textkit.signed(tokens))
+            want = batch.column(0).to_pylist()
+            unit = batch.column(1).to_pylist()
+            keep, lists, weight = [], [], 0
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                index = pa.array(keep, pa.int64())
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-                index = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(index), batch.column(1).take(index), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["k", "gid", "tokens"],
+                columns = [batch.column(1).take(index), batch.column(2).take(index), batch.column(0).take(index)]
+                return pa.RecordBatch.from_arrays(
+                    [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["unit", "side", "k", "tokens"]
                 )
 
+            for i, k in enumerate(want):
+                if k != last:
+                    tokens = next(textkit.shingle_sets(batch.column(3).slice(i, 1), words))
+                    last = k
+                # Another text of the same doc_id, or the same row again.
+                if not len(tokens) or _digest(tokens) != k or not seen.first((k, unit[i])):
+                    last = None if not len(tokens) or _digest(tokens) != k else last
+                    continue
+                keep.append(i)
+                lists.append(textkit.signed(tokens))
+                weight += len(tokens)
+                if weight > 1 << 20:
+                    yield made()
+                    keep, lists, weight = [], [], 0
+            yield made()
+
     return run
 
 
@@ -275,7 +292,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     kept = shared.written(kept, "prefix")
     df = kept.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    matrix = shared.written(kept.join(df, "token"), "matrix")
+    matrix = kept.join(df, "token")
+    # Of its prefix, a set with a partner shares as many tokens as the smaller of the two is asked for.
+    enough = matrix.groupBy("k").agg(F.count("*").alias("common"), F.first("n").alias("_n")).where(f"common >= 1 + ({percent} * _n div 100) div 20")
+    matrix = shared.written(matrix.join(enough.select("k"), "k", "left_semi"), "matrix")
     home = matrix.groupBy("k").agg(F.max_by("token", F.struct("df", "token")).alias("m"), F.first("n").alias("n"))
     weight = home.groupBy("m").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(GROUP_TOKENS))).cast("long").alias("parts"))
     # Sets of one group differ in size by less than a factor of two, so that its bounds stay sharp.
@@ -298,15 +318,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = inner.where("members > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     units = shared.written(pairs.unionByName(several).withColumn("unit", F.xxhash64("ga", "gb")), "units")
 
-    opened = units.select(F.col("ga").alias("gid")).unionByName(units.select(F.col("gb").alias("gid"))).distinct()
-    wanted = groups.join(opened, "gid").join(classes.select("k", "low"), "k").select(F.col("low").alias("doc_id"), "k", "gid")
-    wanted = shared.written(wanted, "wanted")
-    texts = docs.join(shared.small_or_shuffled(wanted), docs.doc_id.eqNullSafe(wanted.doc_id)).select("k", "gid", "text")
-    sets = shared.written(texts.mapInArrow(_sets(words), "k long, gid long, tokens array<long>").dropDuplicates(["k"]), "sets")
     sides = units.select("unit", F.col("ga").alias("gid"), F.lit(False).alias("side")).unionByName(
         units.where("ga <> gb").select("unit", F.col("gb").alias("gid"), F.lit(True).alias("side"))
     )
-    work = sides.join(sets, "gid").select("unit", "side", "k", "tokens")
+    wanted = groups.join(sides, "gid").join(classes.select("k", "low"), "k").select(F.col("low").alias("doc_id"), "k", "unit", "side")
+    wanted = shared.written(wanted, "wanted")
+    texts = docs.join(shared.small_or_shuffled(wanted), docs.doc_id.eqNullSafe(wanted.doc_id)).select("k", "unit", "side", "text")
+    work = texts.mapInArrow(_sets(words), "unit long, side boolean, k long, tokens array<long>")
     work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
     links = work.mapInArrow(_open(percent), "u long, v long")
 
