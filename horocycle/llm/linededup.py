@@ -8,7 +8,7 @@ threshold below its own, at the few places that the multi-match-aware rule leave
 counts are verified by banded bit-parallel edit distance.
 
 Only hashes are shuffled until few lines are left: a key that one line alone has goes no further, and texts are
-fetched for the rest.  Equal lines count once from the start, so a line that a third of all documents share is one row.
+fetched for the rest.  A line that many documents share sends its keys once.
 """
 
 from __future__ import annotations
@@ -124,17 +124,29 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars).withColumn("h", F.xxhash64("line"))
 
 
-def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def _line_table(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(occurrences ``doc_id, pos, h``; ``h, first, times``), both written."""
+    lines = shared.written(_occurrences(docs, min_chars).select("doc_id", "pos", "h"), "lines")
+    return lines, shared.written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times")), "line-firsts")
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``a, b``: hashes of different normalised lines of ``docs(doc_id, text)`` within ``threshold`` edits, each pair once."""
     occurrences = _occurrences(docs, min_chars)
-    rows = occurrences.select("h", F.explode(_keys(threshold)).alias("k")).select("h", "k.key", "k.probe").distinct()
+    # Lines with more than 1 in 100,000 of the occurrences (so at most as many lines) send their keys from their first one only.
+    total = firsts.agg(F.sum("times")).first()[0] or 0
+    often = firsts.where(F.col("times") > max(8, total // 100_000)).select(F.col("h").alias("_h"), "first")
+    once = occurrences.join(F.broadcast(often), F.col("h") == F.col("_h"), "left").where(F.col("first").isNull() | (F.struct("doc_id", "pos") == F.col("first")))
+    rows = once.select("h", F.explode(_keys(threshold)).alias("k")).select("h", "k.key", "k.probe")
     own = Window.partitionBy("key")
     rows = rows.withColumn("lo", F.min("h").over(own)).withColumn("hi", F.max("h").over(own))
     rows = rows.withColumn("indexed", F.min("probe").over(own)).where("lo <> hi and not indexed").select("h", "key", "probe")
-    rows = shared.written(rows, "line-keys")
-    some = shared.written(rows.select(F.col("h").alias("_h")).distinct(), "line-hashes")
-    texts = occurrences.join(shared.small_or_shuffled(some), F.col("h") == F.col("_h"), "left_semi")
-    texts = shared.written(texts.select("h", "line", "n").dropDuplicates(["h"]).withColumn("letters", _letters(F.col("line"))), "line-texts")
+    rows = shared.written(rows.distinct(), "line-keys")
+    wanted = rows.select("h").distinct().join(firsts.select("h", "first.doc_id", "first.pos"), "h")
+    wanted = shared.written(wanted.select(F.col("h").alias("_h"), F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos")), "line-places")
+    texts = docs.join(shared.small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    texts = texts.select(F.col("_h").alias("h"), normal_line(F.get(F.split("text", "\n"), F.col("_pos"))).alias("line")).where(F.xxhash64("line") == F.col("h"))
+    texts = shared.written(texts.dropDuplicates(["h"]).select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters")), "line-texts")
     signed = rows.join(texts.select("h", "n", "letters"), "h")
     a, b = signed.where("not probe").alias("a"), signed.where("probe").alias("b")
     close = f"a.key = b.key and a.h <> b.h and b.n >= a.n and b.n - a.n <= {threshold} and {_apart('a.letters', 'b.letters')} <= {2 * threshold}"
@@ -148,15 +160,13 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, removed``: the numbers (from 0, ascending) of the removed lines of each document that loses any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    occurrences = _occurrences(docs, min_chars).select("doc_id", "pos", "h")
-    at = F.struct("doc_id", "pos")
-    firsts = shared.written(occurrences.groupBy("h").agg(F.min(at).alias("first"), F.count("*").alias("times")), "line-firsts")
-    near = near_lines(docs, threshold, min_chars)
+    occurrences, firsts = _line_table(docs, min_chars)
+    near = near_lines(docs, firsts, threshold, min_chars)
     both = shared.written(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-lines")
     other = both.join(firsts.select(F.col("h").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
     acts = firsts.join(other.withColumnRenamed("a", "h"), "h", "left").where("times > 1 or other < first")
     acts = shared.written(acts.select(F.col("h").alias("_h"), F.when(F.expr("other < first"), None).otherwise(F.col("first")).alias("stays")), "line-acts")
-    hit = occurrences.join(shared.small_or_shuffled(acts), F.col("h") == F.col("_h")).where(~at.eqNullSafe(F.col("stays")))
+    hit = occurrences.join(shared.small_or_shuffled(acts), F.col("h") == F.col("_h")).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("stays")))
     return shared.written(hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed-lines")
 
 

@@ -12,6 +12,7 @@ document), which meets the documents as an array; texts stay in their partition.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ def words_of(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), BLANKS, " "))
+    """Lower case, white space collapsed and trimmed; the regular expression runs only on lines that need it."""
+    odd = reduce(lambda a, b: a | b, (F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c", "\n")))
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line)))
 
 
 def repeated_words(words: Column) -> Column:
