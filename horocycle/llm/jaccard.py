@@ -344,10 +344,12 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     Documents without words are kept.  Rows that repeat the kept doc_id with an equal set are copies of it: one stays.
     """
     found = shared.written(jaccard_components(docs, words=words, percent=percent), "components")
-    keep = found.where("n_shingles = 0 or doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    many = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not many:
+    states = found.groupBy("doc_id").agg(F.max(F.expr("n_shingles = 0 or doc_id <=> component_id")).alias("stays"), F.count("*").alias("n"))
+    states = shared.written(states, "states")
+    gone = states.where("not stays").select(F.col("doc_id").alias("_gone"))
+    # As a rule few documents go, so their ids are small enough to send to the texts instead of the other way round.
+    kept = docs.join(shared.small_or_shuffled(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    if not states.where("stays and n > 1").limit(1).count():
         return kept
     plain = found.where("n_shingles > 0").select(F.col("doc_id").alias("_keep")).distinct()
     again = kept.join(plain, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
