@@ -8,7 +8,6 @@ two best are close is flagged.  All classifiers score from one table, so workers
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -24,7 +23,6 @@ ORDERS, BUCKETS = (2, 3), 1 << 15
 #: Rows of each language that training uses at most (in expectation), and the bytes of the longest one.
 SAMPLE_ROWS, SAMPLE_BYTES = 800, 16 << 10
 _GAIN = 40.0
-_LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -73,7 +71,7 @@ class Model:
             ambiguous = two[:, 1] - two[:, 0] < 0.1
         else:
             ambiguous = np.zeros(n, bool)
-        letters = np.array([bool(t and _LETTER.search(t)) for t in column.to_pylist()], bool)
+        letters = np.array([any(map(str.isalpha, t or "")) for t in column.to_pylist()], bool)
         return np.where(letters, best, -1), np.where(letters, score, 0.0), ambiguous | ~letters
 
     def _losses(self, margin: np.ndarray) -> np.ndarray:

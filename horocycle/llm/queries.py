@@ -17,6 +17,21 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_documents(spark, sf_dir), words=4, percent=85)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_slice(w, k, k + 3) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS k FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (SELECT x, y, c = p.n AND c = q.n AS same FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON r.doc_id = l.x
+), m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id
+), copies AS (SELECT x AS doc_id, count(*) AS k FROM l WHERE same GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, 1 + coalesce(k, 0) AS n_copies FROM m LEFT JOIN n USING (doc_id) LEFT JOIN copies USING (doc_id)
+"""
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public vocabulary file; workers read it from the same installed package."""
     import public_tokenizers
@@ -165,4 +180,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_extendible_sharding": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op4_extendible_sharding": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL}
