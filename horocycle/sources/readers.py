@@ -23,11 +23,21 @@ def read_fasta(spark: SparkSession, path: str, first_token: bool = False, upper:
     is dropped; a header without a body gives an empty sequence; with ``first_token`` the id ends at white space.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
-    text = F.regexp_replace("value", "\r", "")
-    # Only the first record of a file still has its ">"; text before it belongs to no record.
-    start = F.regexp_extract(text, r"(?s)(?:^|\n)>(.*)$", 1)
-    rows = raw.withColumn("_first", text.rlike(r"(?s)(^|\n)>"))
-    rows = rows.withColumn("_rec", F.when(F.col("_first"), start).otherwise(text))
+
+    def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only the first record of a file still has its ">"; what stands before it belongs to no record."""
+        begun: set[str] = set()
+        for batch in batches:
+            files, out = batch.column(1).to_pylist(), []
+            for text, file, at in zip(batch.column(0).to_pylist(), files, batch.column(2).to_pylist(), strict=True):
+                text = text.replace("\r", "")
+                if at == 0 and file not in begun:
+                    begun.add(file)
+                    text = text[1:] if text.startswith(">") else ""
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], names=["_rec", "file"])
+
+    rows = raw.mapInArrow(records, "_rec string, file string")
     header = F.trim(F.substring_index("_rec", "\n", 1))
     body = F.when(F.contains("_rec", F.lit("\n")), F.expr("substring(_rec, instr(_rec, '\n') + 1)")).otherwise("")
     seq = F.regexp_replace(body, r"\s+", "")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from horocycle.functions.constants import KAPPA, TOP_K
+from horocycle.functions.constants import KAPPA, KAPPA_FUNCTIONAL, KAPPA_PHYLOGENETIC, TOP_K
 from horocycle.operators import calibration as C
 from horocycle.operators import hplg
 from horocycle.operators.chimera import chimera_scores
@@ -80,7 +80,7 @@ def curvature_monitor(history: DataFrame, window: int = 50, limit: float = 0.005
         last = list(last)
         rows = []
         for r in pd.concat(list(batches)).sort_values("step").itertuples():
-            p = min(1.0, max(0.0, (r.kappa - 1.0) / 0.2475))
+            p = min(1.0, max(0.0, (r.kappa - KAPPA_FUNCTIONAL) / (KAPPA_PHYLOGENETIC - KAPPA_FUNCTIONAL)))
             now = "functional" if p < 0.05 else "phylogenetic" if p > 0.95 else "transition"
             steps, phase = (steps + 1, phase) if now == phase else (0, now)
             last, n = [*last, r.kappa][-window:], n + 1
