@@ -28,8 +28,10 @@ def kmers(seq: Column, k: int = 4) -> Column:
     """All k-mers of A, C, G and T, in order."""
 
     def of(s: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))
-        return F.when(F.length(s) >= k, F.filter(every, lambda x: x.rlike("^[ACGT]+$"))).otherwise(F.array().cast("array<string>"))
+        # Characters are addressed in an array: substrings of a long string would be sought from its start each time.
+        every = let(F.split(s, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.concat(*(F.get(c, i + j) for j in range(k)))))
+        valid = F.when(s.rlike("^[ACGT]*$"), every).otherwise(F.filter(every, lambda x: x.rlike("^[ACGT]+$")))
+        return F.when(F.length(s) >= k, valid).otherwise(F.array().cast("array<string>"))
 
     return let(clean_dna(seq), of)
 
