@@ -70,7 +70,8 @@ def bags(column: pa.Array, orders: tuple[int, ...], whole: bool, buckets: int) -
     for i, j, parts in grams(column, orders, whole, buckets):
         for row in range(j - i):
             own = [key[(end[row - 1] if row else 0) : end[row]] for key, end in parts]
-            out.append(np.unique(np.concatenate(own), return_counts=True))
+            found, counts = np.unique(np.concatenate(own), return_counts=True)
+            out.append((found.astype(np.int32), counts.astype(np.int32)))
     return out
 
 

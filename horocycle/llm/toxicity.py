@@ -20,7 +20,7 @@ from horocycle.llm import subwords
 
 ORDERS, BUCKETS, DIM = (3, 4, 5), 1 << 18, 4
 #: Labelled rows of each class that training uses at most (in expectation), and the bytes of the longest one.
-SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 32 << 10
+SAMPLE_ROWS, SAMPLE_BYTES = 5_000, 16 << 10
 #: Texts of the sample that an n-gram must occur in to count.
 LEAST_TEXTS = 4
 _GAIN = 40.0
@@ -49,7 +49,9 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int
         spread[b] += 1
     common = spread >= LEAST_TEXTS
     totals = np.array([c.sum() for _, c in bags], np.float32)
-    bags = [(b[common[b]], c[common[b]]) for b, c in bags]
+    for i, (b, c) in enumerate(bags):  # in place: the driver holds the sample once
+        keep = common[b]
+        bags[i] = (b[keep], c[keep])
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), np.float32)
     bias = np.zeros(2, np.float32)
