@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from horocycle.llm import shared
 
 BLANKS = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 #: Distinct documents of a host, and percent of its distinct documents, from which a line is above the limits.
 LINE_DOCS, LINE_PERCENT = 10, 5
 #: Percent of a document's words in removed lines above which it is depleted.
@@ -64,22 +65,18 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, let(words, of)).otherwise(F.lit(0).cast("long"))
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """Add the rules of single texts to ``docs(_text)``; null counts as a text without words."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.regexp_replace(x, BLANKS, " "))) > 0)
-    counted = lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")
-    )
-    out = docs.withColumn("_w", let(words_of(text), counted))
-    return (
-        out.withColumn("n_words", F.col("_w.n_words"))
-        .withColumn("word_chars", F.col("_w.word_chars"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long"))
-        .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", F.col("_w.n_repeat_words"))
-        .withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-        .drop("_w")
+def base_rules(text: Column) -> Column:
+    """The figures of a single text as a struct."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    return let(
+        words_of(text),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+        ),
     )
 
 
@@ -98,22 +95,41 @@ def lines_above_limits(docs: DataFrame, least: int = LINE_DOCS, percent: int = L
     return shared.written(above.groupBy("source").agg(F.sort_array(F.collect_list("l")).alias("lines")), "lines-above-limits")
 
 
-def judged(docs: DataFrame, least: int = LINE_DOCS, percent: int = LINE_PERCENT, depleted: int = DEPLETED_PERCENT) -> DataFrame:
-    """``docs`` with ``_text`` (its text without the removed lines) and all rules' columns; see ``quality_rules``."""
+def with_lines_above(docs: DataFrame, least: int, percent: int) -> DataFrame:
+    """``docs(text, source, ...)`` with ``_above``, the hashes of its host's lines above the limits (null: none)."""
     above = lines_above_limits(docs.select("source", "text"), least, percent).select(F.col("source").alias("_host"), F.col("lines").alias("_above"))
-    out = docs.withColumn("_text", F.col("text").cast("string"))
-    out = out.join(shared.small_or_shuffled(above), F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
-    out = base_rules(out)
-    kept = lambda x: ~F.coalesce(F.array_contains(F.col("_above"), F.xxhash64(normal_line(x))), F.lit(False)) | (normal_line(x) == "")
-    counted = lambda x: F.struct(
-        x.alias("rest"), (F.col("n_words") - F.size(words_of(F.array_join(x, "\n")))).cast("long").alias("words")
-    )
-    removed = F.when(F.col("_above").isNotNull() & F.col("_text").isNotNull(), let(F.filter(F.split("_text", "\n"), kept), counted))
-    out = out.withColumn("_cut", removed)
-    out = out.withColumn("n_removed_lines", F.coalesce(F.size(F.split("_text", "\n")) - F.size("_cut.rest"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed_words", F.coalesce("_cut.words", F.lit(0).cast("long")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_removed_words") <= depleted * F.col("n_words")))
-    return out.withColumn("_text", F.when(F.col("n_removed_lines") > 0, F.array_join("_cut.rest", "\n")).otherwise(F.col("_text"))).drop("_above", "_cut")
+    return docs.join(shared.small_or_shuffled(above), F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
+
+
+def judged(depleted: int, text: Column, above: Column) -> Column:
+    """All figures of ``text``, its verdict and ``rest``, the text without removed lines, as an array of one struct.
+
+    Queries take it apart with ``inline``: a generator is evaluated once a row, where a filter or several columns of it
+    would each evaluate it again.  Null counts as a text without words.
+    """
+    text = F.coalesce(text, F.lit(""))
+    over = lambda x: let(normal_line(x), lambda n: (n != "") & F.array_contains(above, F.xxhash64(n)))
+
+    def cut(lines: Column) -> Column:
+        left = F.when(above.isNotNull(), F.filter(lines, lambda x: ~over(x))).otherwise(lines)
+        return let(left, lambda x: F.struct((F.size(lines) - F.size(x)).cast("long").alias("n"), F.array_join(x, "\n").alias("rest")))
+
+    def verdict(b: Column, c: Column) -> Column:
+        failed = (b["n_words"] < 50) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
+        gone = F.when(c["n"] > 0, b["n_words"] - F.size(words_of(c["rest"]))).otherwise(0).cast("long")
+        return let(
+            gone,
+            lambda words: F.struct(
+                *(b[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+                failed.alias("base_failed"),
+                (~failed & (100 * words <= depleted * b["n_words"])).alias("kept"),
+                c["n"].alias("n_removed_lines"),
+                words.alias("n_removed_words"),
+                c["rest"].alias("rest"),
+            ),
+        )
+
+    return F.array(let(base_rules(text), lambda b: let(let(F.split(text, "\n"), cut), lambda c: verdict(b, c))))
 
 
 def quality_rules(docs: DataFrame, least: int = LINE_DOCS, percent: int = LINE_PERCENT, depleted: int = DEPLETED_PERCENT) -> DataFrame:
@@ -125,13 +141,17 @@ def quality_rules(docs: DataFrame, least: int = LINE_DOCS, percent: int = LINE_P
     source is a host of its own; a null doc_id stays null; repeated rows are judged alike; other columns are ignored.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "source")
-    return judged(docs, least, percent, depleted).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_removed_words"
-    )
+    found = with_lines_above(docs, least, percent).select("doc_id", F.inline(judged(depleted, F.col("text"), F.col("_above"))))
+    return found.drop("rest")
 
 
-def apply_rules(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs`` with its own columns: lines above the limits are gone from ``text``, and ``n_chars`` follows."""
-    out = judged(docs).where("kept")
-    size = F.length("_text").cast("long")
-    return out.select(*(F.col("_text").alias("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+def apply_rules(docs: DataFrame, least: int = LINE_DOCS, percent: int = LINE_PERCENT, depleted: int = DEPLETED_PERCENT) -> DataFrame:
+    """The kept rows of ``docs`` with its own columns: lines above the limits are gone from ``text``, and ``n_chars`` follows.
+
+    Columns of any name pass unchanged; see ``quality_rules`` for nulls and repeated rows.
+    """
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars"))).alias("_own")
+    rows = with_lines_above(docs.select(own, F.col("text").cast("string").alias("text"), "source"), least, percent)
+    found = rows.select("_own", F.inline(F.filter(judged(depleted, F.col("text"), F.col("_above")), lambda v: v["kept"])))
+    new = {"text": F.col("rest").alias("text"), "n_chars": F.length("rest").cast("long").alias("n_chars")}
+    return found.select(*(new[c] if c in new else F.col("_own").getField(c).alias(c) for c in docs.columns))
