@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horocycle.llm import textkit
+from horocycle.llm import shared, textkit
 
 #: UTF-8 bytes of benchmark text in one block: about 40 MB of hashes on a worker at most.
 BLOCK_BENCHMARK_BYTES = 16 << 20
@@ -106,6 +106,7 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int =
     blank are found nowhere.  Repeated rows on either side come out repeatedly; a null id stays null.  An empty
     benchmark gives no rows.  Other columns are ignored.
     """
+    shared.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_shingles long, n_found long"
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
@@ -117,6 +118,7 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int =
 
 def without_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns and in the same partitions."""
+    shared.bounded_batches(docs.sparkSession)
     schema = docs.schema
     names = docs.columns
     at = names.index("text")

@@ -269,6 +269,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Other columns of ``docs`` are ignored, so their names cannot clash.  Sets are told apart by a 64-bit digest.
     """
     spark = docs.sparkSession
+    shared.bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scan = shared.written(docs.mapInArrow(_scan(words, 3), "doc_id long, n long, k long, hot boolean"), "shingles")
     ids = scan.where("not hot").select("doc_id", "n", "k")

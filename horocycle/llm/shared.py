@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast after its rows were counted (about 16 MB for two longs a row).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch where the session names none: operators work on blocks of at most a megabyte anyway.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of whole texts exceed BATCH_BYTES, on either side of the pipe; a session's own setting stays."""
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a written table for broadcast if it was counted to be small; otherwise leave the join to shuffle."""
     rows = df.count() if rows is None else rows
