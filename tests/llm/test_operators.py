@@ -216,6 +216,19 @@ def test_lines_above_limits_are_counted_in_distinct_documents(spark, empty):
     assert rows_of(quality.quality_rules(empty)) == []
 
 
+def test_rules_keep_columns_of_any_name(spark, empty):
+    from pyspark.sql import functions as F
+
+    names = ["kept", "rest", "n_words", "_own", "_above", "_host", "_text"]
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "en", None, 5), (None, text + " x", None, "a", None), (2, None, None, "a", 0)], SCHEMA)
+    out = quality.apply_rules(docs.select("*", *(F.lit(f"own {c}").alias(c) for c in names)))
+    assert out.columns == [*docs.columns, *names]
+    rows = out.collect()
+    assert sorted(r.text for r in rows) == [text, text + " x"] and all(r[c] == f"own {c}" for r in rows for c in names)
+    assert all(r.n_chars == len(r.text) for r in rows) and rows_of(quality.apply_rules(empty)) == []
+
+
 # ---- 8
 
 

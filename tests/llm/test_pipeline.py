@@ -24,7 +24,8 @@ def test_pipeline_equals_brute_force(spark):
     gone = brute_lines(first, 2, 40)
     second = [(d, "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get(d, ()))) for d, t in first]
     second = [(d, t) for d, t in second if d not in gone or t.strip()]
-    third = [(d, t) for d, t in second if dict((x, c) for x, _, c in brute_components(second, 5, 80))[d] == d]
+    component = {x: c for x, _, c in brute_components(second, 5, 80)}
+    third = [(d, t) for d, t in second if component[d] == d]
     items = [shingles(r.text, 5) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     fourth = {d: t for d, t in third if not any(a and 100 * len(a & shingles(t, 5)) >= 80 * len(a) for a in items)}
     library = Tokenizer.from_file(tokenizer_path())
