@@ -256,17 +256,10 @@ def _open(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_copies``.
-
-    Texts are lower-cased in A-Z and split into words ``[^\\x20\\x09-\\x0D]+``; a document's set holds its distinct shingles of
-    ``words`` words (with fewer words, the whole sequence).  Documents are linked when their Jaccard similarity is at
-    least ``percent``/100 in integer arithmetic; ``component_id`` is the smallest id reachable by links, itself
-    included, and ``n_copies`` counts the rows with the same set.  Every link is found.
+def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """``jaccard_components`` with two more columns: ``k``, the class of equal sets (0 without words), and ``one``, the class that stands for the component.
 
-    Null or blank texts have n_shingles 0, link with nothing and keep their own id.  Rows with a null id are kept;
-    they count in components by the ids of the others (null if there is none).  Repeated rows come out repeatedly.
-    Other columns of ``docs`` are ignored, so their names cannot clash.  Sets are told apart by a 64-bit digest.
+    It is that of the smallest id, the smallest class of several (and of a component of null ids only).
     """
     spark = docs.sparkSession
     shared.bounded_batches(spark)
@@ -331,27 +324,63 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     comp = shared.components(links)
     low = comp.join(classes.select(F.col("k").alias("node"), "low"), "node")
-    least = low.groupBy("comp").agg(F.min("low").alias("least"))
-    of_class = comp.join(least, "comp").select(F.col("node").alias("k"), "least")
-    named = classes.join(of_class, "k", "left").select("k", "n_copies", F.coalesce("least", "low").alias("component_id"))
-    some = ids.where("n > 0").join(named, "k").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
-    none = ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+    first = F.min(F.struct(F.col("low").isNull().alias("null"), "low", "node"))
+    least = low.groupBy("comp").agg(F.min("low").alias("least"), first["node"].alias("one"))
+    of_class = comp.join(least, "comp").select(F.col("node").alias("k"), "least", "one")
+    named = classes.join(of_class, "k", "left").select("k", "n_copies", F.coalesce("least", "low").alias("component_id"), F.coalesce("one", "k").alias("one"))
+    some = ids.where("n > 0").join(named, "k").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "k", "one")
+    none = ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), "k", F.col("k").alias("one"))
     return some.unionByName(none)
 
 
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_copies``.
+
+    Texts are lower-cased in A-Z and split into words ``[^\\x20\\x09-\\x0D]+``; a document's set holds its distinct shingles of
+    ``words`` words (with fewer words, the whole sequence).  Documents are linked when their Jaccard similarity is at
+    least ``percent``/100 in integer arithmetic; ``component_id`` is the smallest id reachable by links, itself
+    included, and ``n_copies`` counts the rows with the same set.  Every link is found.
+
+    Null or blank texts have n_shingles 0, link with nothing and keep their own id.  Rows with a null id are kept;
+    they count in components by the ids of the others (null if there is none).  Repeated rows come out repeatedly.
+    Other columns of ``docs`` are ignored, so their names cannot clash.  Sets are told apart by a 64-bit digest.
+    """
+    return _classified(docs, id_col, text_col, words, percent).select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
+def _class_of(words: int):
+    """The class of a text as a column function: the digest of its set, null without words."""
+
+    @F.arrow_udf("long")
+    def of(text: pa.Array) -> pa.Array:
+        return pa.array([_digest(tokens) if len(tokens) else None for tokens in textkit.shingle_sets(text, words)], pa.int64())
+
+    return of
+
+
 def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are kept when one document of each component stays: the one with the smallest doc_id.
 
-    Documents without words are kept.  Rows that repeat the kept doc_id with an equal set are copies of it: one stays.
+    Documents without words are kept.  Of several rows of a component with its smallest doc_id (or of a component of null ids
+    only) one row of the smallest set digest stays; rows that share an id but no component are different documents.
     """
-    found = shared.written(jaccard_components(docs, words=words, percent=percent), "components")
-    states = found.groupBy("doc_id").agg(F.max(F.expr("n_shingles = 0 or doc_id <=> component_id")).alias("stays"), F.count("*").alias("n"))
-    states = shared.written(states, "states")
+    found = _classified(docs, "doc_id", "text", words, percent)
+    found = found.select("doc_id", "k", "n_shingles", F.expr("n_shingles = 0 or (k = one and doc_id <=> component_id)").alias("stays"))
+    found = shared.written(found, "components")
+    states = shared.written(found.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "states")
     gone = states.where("not stays").select(F.col("doc_id").alias("_gone"))
     # As a rule few documents go, so their ids are small enough to send to the texts instead of the other way round.
     kept = docs.join(shared.small_or_shuffled(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    if not states.where("stays and n > 1").limit(1).count():
+    several = states.where("stays and n > 1").select(F.col("doc_id").alias("_keep"))
+    n = several.count()
+    if not n:
         return kept
-    plain = found.where("n_shingles > 0").select(F.col("doc_id").alias("_keep")).distinct()
-    again = kept.join(plain, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
-    return again.unionByName(kept.join(plain, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_anti"))
+    # Rows of an id that has several are told apart by their sets.
+    of_several = F.col("doc_id").eqNullSafe(F.col("_keep"))
+    unclear = kept.join(shared.small_or_shuffled(several, n), of_several, "left_semi").select("*", _class_of(words)(F.col("text").cast("string")).alias("_class"))
+    stay = found.where("stays and n_shingles > 0").join(shared.small_or_shuffled(several, n), of_several, "left_semi")
+    stay = shared.written(stay.select(F.col("doc_id").alias("_stay"), F.col("k").alias("_k")).distinct(), "stays")
+    same = (F.col("_class") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_stay"))
+    worded = unclear.where("_class is not null").dropDuplicates(["doc_id", "_class"]).join(shared.small_or_shuffled(stay), same, "left_semi")
+    alone = kept.join(shared.small_or_shuffled(several, n), of_several, "left_anti")
+    return alone.unionByName(worded.unionByName(unclear.where("_class is null")).drop("_class"))

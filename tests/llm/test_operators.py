@@ -152,6 +152,16 @@ def test_one_of_each_component_stays(docs):
     assert set(kept) - blank == want and len([k for k in kept if k in want]) == len(want)
 
 
+def test_rows_of_one_or_no_id_stay_by_their_sets(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c, d, e = map(text, "abcde")
+    rows = [(None, a), (None, b), (None, b), (None, f"{b} more"), (None, None), (None, e), (2, e), (5, c), (5, d), (5, d), (5, e), (5, " "), (7, c), (8, a)]
+    kept = rows_of(jaccard.one_per_component(spark.createDataFrame(rows, "doc_id long, text string")))
+    near = [r for r in kept if r[1] in (b, f"{b} more")]
+    want = [(None, None), (2, e), (5, " "), (5, c), (5, d), (8, a)]
+    assert sorted((r for r in kept if r not in near), key=str) == sorted(want, key=str) and len(near) == 1
+
+
 # ---- 7
 
 
