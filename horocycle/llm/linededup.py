@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines, in built-in expressions only.
 
 Lines are normalised; those of at least ``min_chars`` characters take part.  An occurrence is removed if an earlier one (by doc_id,
-then line number) has an equal line or one within ``threshold`` edits.  Near lines are found by a segment-partition
+then line number, then the text's digest) has an equal line or one within ``threshold`` edits.  Near lines are found by a segment-partition
 edit join: a line of length l is indexed by its threshold + 1 segments under (length, segment number, segment), so
 any line within the threshold contains one of them unchanged; a line probes the indexes of the lengths up to the
 threshold below its own, at the few places that the multi-match-aware rule leaves.  Candidates that agree in letter
@@ -119,15 +119,16 @@ def edit_distance_within(a: Column, b: Column, threshold: int) -> Column:
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """``doc_id, t, pos, line, n, h``; ``t`` is the digest of the text, which tells rows of one or no id apart."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.where(F.length("line") >= min_chars).withColumn("line", normal_line(F.col("line")))
     return lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars).withColumn("h", F.xxhash64("line"))
 
 
 def _line_table(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(occurrences ``doc_id, pos, h``; ``h, first, times``), both written."""
-    lines = shared.written(_occurrences(docs, min_chars).select("doc_id", "pos", "h"), "lines")
-    return lines, shared.written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times")), "line-firsts")
+    """(occurrences ``doc_id, t, pos, h``; ``h, first, times``), both written."""
+    lines = shared.written(_occurrences(docs, min_chars).select("doc_id", "t", "pos", "h"), "lines")
+    return lines, shared.written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "t")).alias("first"), F.count("*").alias("times")), "line-firsts")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -136,15 +137,15 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, m
     # Lines with more than 1 in 100,000 of the occurrences (so at most as many lines) send their keys from their first one only.
     total = firsts.agg(F.sum("times")).first()[0] or 0
     often = firsts.where(F.col("times") > max(8, total // 100_000)).select(F.col("h").alias("_h"), "first")
-    once = occurrences.join(F.broadcast(often), F.col("h") == F.col("_h"), "left").where(F.col("first").isNull() | (F.struct("doc_id", "pos") == F.col("first")))
+    once = occurrences.join(F.broadcast(often), F.col("h") == F.col("_h"), "left").where(F.col("first").isNull() | (F.struct("doc_id", "pos", "t") == F.col("first")))
     rows = once.select("h", F.explode(_keys(threshold)).alias("k")).select("h", "k.key", "k.probe")
     own = Window.partitionBy("key")
     rows = rows.withColumn("lo", F.min("h").over(own)).withColumn("hi", F.max("h").over(own))
     rows = rows.withColumn("indexed", F.min("probe").over(own)).where("lo <> hi and not indexed").select("h", "key", "probe")
     rows = shared.written(rows.distinct(), "line-keys")
-    wanted = rows.select("h").distinct().join(firsts.select("h", "first.doc_id", "first.pos"), "h")
-    wanted = shared.written(wanted.select(F.col("h").alias("_h"), F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos")), "line-places")
-    texts = docs.join(shared.small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    wanted = rows.select("h").distinct().join(firsts.select("h", "first.doc_id", "first.pos", "first.t"), "h")
+    wanted = shared.written(wanted.select(F.col("h").alias("_h"), F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), F.col("t").alias("_t")), "line-places")
+    texts = docs.join(shared.small_or_shuffled(wanted), (F.xxhash64("text") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     texts = texts.select(F.col("_h").alias("h"), normal_line(F.get(F.split("text", "\n"), F.col("_pos"))).alias("line")).where(F.xxhash64("line") == F.col("h"))
     texts = shared.written(texts.dropDuplicates(["h"]).select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters")), "line-texts")
     signed = rows.join(texts.select("h", "n", "letters"), "h")
@@ -158,7 +159,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, m
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, removed``: the numbers (from 0, ascending) of the removed lines of each document that loses any."""
+    """``doc_id, t, removed``: the numbers (from 0, ascending) of the removed lines of each id and text digest that loses any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     occurrences, firsts = _line_table(docs, min_chars)
     near = near_lines(docs, firsts, threshold, min_chars)
@@ -166,20 +167,21 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     other = both.join(firsts.select(F.col("h").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
     acts = firsts.join(other.withColumnRenamed("a", "h"), "h", "left").where("times > 1 or other < first")
     acts = shared.written(acts.select(F.col("h").alias("_h"), F.when(F.expr("other < first"), None).otherwise(F.col("first")).alias("stays")), "line-acts")
-    hit = occurrences.join(shared.small_or_shuffled(acts), F.col("h") == F.col("_h")).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("stays")))
-    return shared.written(hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed-lines")
+    hit = occurrences.join(shared.small_or_shuffled(acts), F.col("h") == F.col("_h")).where(~F.struct("doc_id", "pos", "t").eqNullSafe(F.col("stays")))
+    return shared.written(hit.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed-lines")
 
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Add ``n_lines, n_removed, removed`` (line numbers joined by commas) and ``new_text`` to the rows of ``docs(doc_id, text)``.
 
     Lines are split at \\n and normalised (lower case, white space collapsed); shorter ones than ``min_chars`` stay, whatever
-    they repeat.  The earliest occurrence stays, by doc_id (null first), then by line.  Rows of one doc_id count as one
-    document and lose the same line numbers.  Null text stays null with no lines; an empty text is one line.  Other columns
+    they repeat.  The earliest occurrence stays, by doc_id (null first), then by line; of several rows of one id (or none)
+    with different texts, by the text's digest.  Repeated rows count as one document and lose the same lines.  Null text stays null with no lines; an empty text is one line.  Other columns
     are passed on; they must not be named as the added ones.
     """
-    gone = removed_lines(docs, threshold, min_chars).withColumnRenamed("doc_id", "_doc")
-    out = docs.join(shared.small_or_shuffled(gone), docs["doc_id"].eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    gone = removed_lines(docs, threshold, min_chars).withColumnsRenamed({"doc_id": "_doc", "t": "_t"})
+    own = (F.xxhash64(docs["text"].cast("string")) == F.col("_t")) & docs["doc_id"].eqNullSafe(F.col("_doc"))
+    out = docs.join(shared.small_or_shuffled(gone), own, "left").drop("_doc", "_t")
     lines = F.split(F.col("text").cast("string"), "\n")
     stays = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return (

@@ -301,6 +301,18 @@ def test_line_dedup_equals_brute_force(spark, docs, threshold):
     assert got == brute_lines(rows, threshold, 40) and len(got) > 20
 
 
+def test_rows_of_one_or_no_id_lose_only_their_own_lines(spark):
+    line = lambda x: " ".join(f"{x}{i}{x * 2}" for i in range(12))
+    again, near = line("again"), line("again")[:-1] + "#"
+    both = [(None, f"{again}\n{line('p')}"), (None, f"{again}\n{line('q')}\n{line('r')}")]
+    rows = [*both, both[0], (None, f"{line('s')}\n{line('t')}\n{near}"), (None, None), (None, ""), (4, f"{line('u')}\n{line('v')}"), (4, f"{line('w')}\n{again}"), (5, f"{line('x')}\n{line('w')}")]
+    out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.text): r.removed for r in out}
+    assert len(out) == len(rows) and sorted(got[r] for r in both) == ["", "0"]
+    assert [got[r] for r in rows[3:]] == ["2", "", "", "", "1", "1"]
+    assert len({r.removed for r in out if (r.doc_id, r.text) == both[0]}) == 1
+
+
 def test_line_dedup_keeps_columns_and_rows(docs, empty):
     out = linededup.deduped(docs)
     assert out.columns == docs.columns and linededup.line_dedup(docs).count() == docs.count() and rows_of(linededup.line_dedup(empty)) == []
