@@ -5,7 +5,7 @@ next bit, and only such a bucket does, so the directory is deep only where it mu
 hash prefix: these are summed once at a fine depth and once more for each prefix of it, and a prefix is a shard if it
 fits while the prefix one bit shorter doesn't.  The directory stays a table.  Where even the finest
 prefix is too large, its rows alone go on with the following bits; rows that share a whole hash (one id
-again and again) are at last cut in order of their sizes summed up.
+again and again) are at last cut in order of their sizes summed up, in steps that leave room for the row across a step's end.
 """
 
 from __future__ import annotations
@@ -72,8 +72,16 @@ def shard(docs: DataFrame, limit: int = 256 << 20) -> DataFrame:
     bits = F.substring(F.lpad(F.conv(F.col("_h").cast("string"), 10, 2), HASH_BITS, "0"), F.lit(1), F.col("depth"))
     out = out.select("doc_id", "n_bytes", bits.alias("shard_id"), "depth")
     if high == HASH_BITS and found.where(F.col("depth") > high).limit(1).count():
-        before = Window.partitionBy("_h").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, 0)
-        tail = rest.withColumn("_part", F.floor((F.sum("n_bytes").over(before) - 1) / limit) + 1)
+        # Rows over half the limit come last and alone.  The others begin within steps of the limit less the largest of them,
+        # so that a part is within the limit with the row that crosses its end.
+        hashed = Window.partitionBy("_h")
+        ordered = hashed.orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, 0)
+        light = F.when(2 * F.col("n_bytes") <= limit, F.col("n_bytes"))
+        tail = rest.withColumn("_step", F.lit(limit + 1) - F.max(light).over(hashed)).withColumn("_begin", F.sum(light).over(ordered) - F.col("n_bytes"))
+        tail = tail.withColumn("_step_of", F.when(light.isNotNull(), F.expr("_begin div _step")))
+        alone = F.sum(F.when(light.isNull(), 1).otherwise(0)).over(ordered)
+        tail = tail.withColumn("_part", F.coalesce(F.max("_step_of").over(hashed) + 1, F.lit(0)) + alone)
+        tail = tail.withColumn("_part", F.coalesce(F.col("_step_of") + 1, F.col("_part")))
         whole = F.lpad(F.conv(F.col("_h").cast("string"), 10, 2), HASH_BITS, "0")
         tail = tail.select("doc_id", "n_bytes", F.concat_ws(".", whole, F.col("_part").cast("string")).alias("shard_id"), F.lit(HASH_BITS).alias("depth"))
         out = out.unionByName(tail)

@@ -443,6 +443,18 @@ def test_one_id_again_and_again_is_cut(spark):
     assert len(rows) == 10 and max(size.values()) <= 1200
 
 
+def test_parts_of_one_id_are_within_the_limit(spark):
+    sizes = [400] * 10 + [0, 0, 1, 499, 500, 501, 700, 1000, 1001, 5000]
+    rows = [(d, "x" * n) for d in (7, None) for n in sizes] + [(8, "x" * 900)] * 3 + [(9, "x" * 10)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 1000).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.shard_id, []).append(r.n_bytes)
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == sorted((d or 0, len(t)) for d, t in rows)
+    assert all(sum(x) <= 1000 or len(x) == 1 for x in shards.values())
+    assert len({r.shard_id for r in got if r.doc_id == 7}) <= 15 and len({r.shard_id for r in got if r.doc_id == 8}) == 3
+
+
 # ---- 9
 
 
