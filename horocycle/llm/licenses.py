@@ -4,9 +4,10 @@ Words of text and template (letters and digits, lower-cased) that occur once in
 subsequence of their places keeps those in order, and the gaps between anchors are aligned the same way, after equal words
 at their ends.  Coverage is the share of a template's words that are aligned.
 
-A long text is aligned only around places that share three successive words with a template, in windows that a template can
-fill; without such a place no template of the list could be covered.  Everything happens within a row, with the templates
-on every worker; nothing is shuffled.
+A text is aligned around places that share three successive words with a template.  Where that leaves a template short of
+whole coverage, it is aligned also in the stretches of ``STRETCH`` times its words that hold enough of them, each word
+counted as often as the template has it: less cannot reach the coverage, so no covered stretch of that length is passed over.
+Everything happens within a row, with the templates on every worker; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ TEMPLATES = {
     ),
 }
 RUN = 3
+#: Words of a text over which a template may be spread, in times its own.
+STRETCH = 4
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -124,27 +127,29 @@ class Scanner:
         owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
         order = np.argsort(flat, kind="stable")
         self.flat, self.owner = flat[order], owner[order]
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
+        self.times = np.zeros((len(self.words), len(self.vocabulary)), np.int64)
+        for times, w in zip(self.times, self.words, strict=True):
+            np.add.at(times, np.searchsorted(self.vocabulary, w), 1)
+        self.least = np.array([max(1, -(-percent * len(w) // 100)) for w in self.words], np.int64)
 
     def windows(self, hits: np.ndarray, width: int, n: int) -> list[tuple[int, int]]:
         """Stretches of the text around hits; hits further apart than a template is long are looked at apart."""
         cut = np.flatnonzero(np.diff(hits) > width) + 1
         return [(max(0, int(x[0]) - width), min(n, int(x[-1]) + RUN + width)) for x in np.split(hits, cut)]
 
-    def scan(self, words: np.ndarray) -> list[tuple[str, int, int, int, int]]:
-        """(template, aligned words, template's words, first and last place) of the best-covering window of each template found."""
+    def by_runs(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """The best alignment of each template that shares a run of words."""
         runs = _runs(words)
         if not len(runs) or not len(self.flat):
-            return []
+            return {}
         a, b = np.searchsorted(self.flat, runs, "left"), np.searchsorted(self.flat, runs, "right")
-        at = np.flatnonzero(b > a)
-        if not len(at):
-            return []
         hits: dict[int, list[int]] = {}
-        for x in at:
+        for x in np.flatnonzero(b > a):
             for t in self.owner[a[x] : b[x]]:
                 hits.setdefault(int(t), []).append(int(x))
-        out = []
-        for t in sorted(hits):
+        out = {}
+        for t in hits:
             template = self.words[t].tolist()
             best: list[tuple[int, int]] = []
             for lo, hi in self.windows(np.array(hits[t]), len(template), len(words)):
@@ -156,8 +161,61 @@ class Scanner:
                         best = [(x, y + start) for x, y in pairs]
                     if stop == hi or 100 * len(best) == 100 * len(template):
                         break
-            if best and 100 * len(best) >= self.percent * len(template):
-                out.append((self.names[t], len(best), len(template), best[0][1], best[-1][1]))
+            out[t] = best
+        return out
+
+    def by_words(self, t: int, words: np.ndarray, at: np.ndarray, kinds: np.ndarray, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """``best``, or a better alignment of template ``t`` in a stretch with enough of its words, which are of ``kinds`` at ``at``."""
+        template, least, most = self.words[t].tolist(), int(self.least[t]), self.times[t]
+        own = most[kinds] > 0
+        places, kinds = at[own].tolist(), kinds[own].tolist()
+        size = STRETCH * len(template)
+
+        def taken(x: int, seen: dict[int, int], step: int) -> int:
+            """The change of the words counted when one of kind ``x`` comes (1) or goes (-1)."""
+            n = seen[x] = seen.get(x, 0) + step
+            return step if (n <= most[x] if step > 0 else n < most[x]) else 0
+
+        # The stretch that ends at j and is as long as may be, and the shortest that still has enough.
+        wide, tight, seen_w, seen_t, in_w, in_t = 0, 0, {}, {}, 0, 0
+        for j, x in enumerate(kinds):
+            in_w += taken(x, seen_w, 1)
+            in_t += taken(x, seen_t, 1)
+            while places[j] - places[wide] >= size:
+                in_w += taken(kinds[wide], seen_w, -1)
+                wide += 1
+            while tight < wide or in_t - (seen_t[kinds[tight]] <= most[kinds[tight]]) >= least:
+                in_t += taken(kinds[tight], seen_t, -1)
+                tight += 1
+            if in_w < max(least, len(best) + 1):
+                continue
+            end = places[j] + 1
+            for start in {places[tight], max(places[wide], end - len(template)), max(places[wide], end - 2 * len(template)), places[wide]}:
+                pairs = align(template, words[start:end].tolist())
+                if len(pairs) > len(best):
+                    best = [(a, b + start) for a, b in pairs]
+            if len(best) == len(template):
+                break
+        return best
+
+    def scan(self, words: np.ndarray) -> list[tuple[str, int, int, int, int]]:
+        """(template, aligned words, template's words, first and last place) of the best-covering window of each template found."""
+        if not len(words) or not len(self.vocabulary):
+            return []
+        kinds = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        at = np.flatnonzero(self.vocabulary[kinds] == words)
+        kinds = kinds[at]
+        held = np.minimum(self.times, np.bincount(kinds, minlength=len(self.vocabulary))).sum(axis=1)
+        enough = np.flatnonzero(held >= self.least)
+        if not len(enough):
+            return []
+        found, out = self.by_runs(words), []
+        for t in enough.tolist():
+            best, n = found.get(t, []), len(self.words[t])
+            if len(best) < n:
+                best = self.by_words(t, words, at, kinds, best)
+            if best and 100 * len(best) >= self.percent * n:
+                out.append((self.names[t], len(best), n, best[0][1], best[-1][1]))
         return out
 
 

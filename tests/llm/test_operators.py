@@ -483,6 +483,19 @@ def test_licences_are_found_in_long_texts(spark, empty):
     assert rows_of(licenses.scan_licenses(empty)) == []
 
 
+def test_notices_without_a_run_of_three_words_are_found(spark):
+    noise = " ".join(f"word{i}" for i in range(300))
+    apart = lambda t, n: "".join(f"{w} " + f"foreign{i} " * (i % n == n - 1) for i, w in enumerate(t.split()))
+    rows = [(1, "Released under MIT License"), (2, f"{noise} released under MIT License. {noise}"), (3, f"{noise} the MIT license was released under {noise}")]
+    rows += [(10 + i, f"{noise} {apart(t, 2)} {noise}") for i, t in enumerate(licenses.TEMPLATES.values())]
+    rows += [(20, "Released under MIT License " * 40), (21, apart(licenses.TEMPLATES["ISC"], 2) * 3), (22, f"released {noise} under {noise} MIT {noise} license")]
+    got = {(r.doc_id, r.license): r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(1, "MIT-notice"), (2, "MIT-notice"), (20, "MIT-notice"), (21, "ISC")} | {(10 + i, name) for i, name in enumerate(licenses.TEMPLATES)}
+    assert want <= set(got) and not {k for k in got if k[0] in (3, 22)}
+    assert got[1, "MIT-notice"].n_matched == 4 and got[2, "MIT-notice"].first_word == 300 and got[2, "MIT-notice"].last_word == 303
+    assert all(got[10 + i, name].coverage == 1.0 for i, name in enumerate(licenses.TEMPLATES))
+
+
 # ---- 3 and 10
 
 
