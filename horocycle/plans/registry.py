@@ -430,16 +430,17 @@ def quartet_topology_counts(spark, sf_dir):
     return q.groupBy("topology").agg(F.count("*").alias("n"), r6(F.avg("delta"), "mean_delta"), r6(F.max("delta"), "max_delta"))
 
 
-def _forest(spark, sf_dir) -> DataFrame:
-    """One tree per label, of its first twelve points."""
+def _forest(spark, sf_dir, most: int | None = None) -> DataFrame:
+    """One tree per label, of all its points or its first ``most``."""
     order = Window.partitionBy("label").orderBy("id")
-    p = X.points(spark, sf_dir).withColumn("ordinal", F.row_number().over(order)).where("ordinal <= 12")
+    p = X.points(spark, sf_dir).withColumn("ordinal", F.row_number().over(order))
+    p = p if most is None else p.where(F.col("ordinal") <= most)
     return p.select(F.col("label").alias("tree_id"), "ordinal", F.concat(F.lit("t"), F.col("id")).alias("taxon_id"), "embedding")
 
 
 @query(f"WITH {X.P}, n AS (SELECT label, least(12, count(*)) AS n FROM p GROUP BY label) SELECT label AS tree_id, n AS n_leaves, n - 2 AS n_internal, 2 * n - 3 AS n_edges FROM n")
 def nj_tree_statistics(spark, sf_dir):
-    pts = _forest(spark, sf_dir)
+    pts = _forest(spark, sf_dir, 12)
     return tree.statistics(tree.nodes(pts), tree.edges(pts)).select("tree_id", "n_leaves", "n_internal", "n_edges")
 
 
@@ -544,8 +545,7 @@ def hplg_online(spark, sf_dir):
 
 @query()
 def geodesic_arcs(spark, sf_dir):
-    pairs = _pair(spark, sf_dir).where("id < 20")
-    return projection.arcs(pairs, 10).select("id", "step", r6(G.norm(F.col("point")), "norm"))
+    return projection.arcs(_pair(spark, sf_dir), 10).select("id", "step", r6(G.norm(F.col("point")), "norm"))
 
 
 def queries() -> dict[str, Query]:

@@ -192,3 +192,23 @@ def test_sequences(spark):
     assert rank_of("Family") == 4 and json.loads(S.row_json(df).first()[0])["sequence_id"] == 0
     with pytest.raises(ValueError):
         rank_of("clade")
+
+
+def test_arcs_and_trees_take_all_points(spark):
+    import os
+
+    import pytest
+
+    from horocycle.plans import fixtures, registry
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    labels = {}
+    for r in fixtures.points(spark, sf).select("id", "label").collect():
+        labels.setdefault(r.label, set()).add(r.id)
+    ids = set().union(*labels.values())
+    arcs = registry.geodesic_arcs(spark, sf).collect()
+    assert {r.id for r in arcs} == {i for i in ids if i + 1 in ids} and len(arcs) == 10 * len({r.id for r in arcs})
+    edges = {r.tree_id: r["count"] for r in registry.nj_edges(spark, sf).groupBy("tree_id").count().collect()}
+    assert edges == {k: 2 * len(x) - 3 for k, x in labels.items()}
