@@ -208,7 +208,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes whole texts block by block; keeps the ids of pre-tokens by their hash."""
+    """Encodes whole texts block by block; keeps pre-tokens and their ids, found by a hash and compared byte by byte."""
 
     def __init__(self, path: str) -> None:
         self.vocab = Vocabulary(path)
@@ -216,26 +216,49 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = Table(CACHE_WORDS.bit_length() + 1)
-        self.at = np.zeros(CACHE_WORDS, np.int32)
-        self.len = np.zeros(CACHE_WORDS, np.int32)
+        self.at, self.len = np.zeros(CACHE_WORDS, np.int32), np.zeros(CACHE_WORDS, np.int32)
         self.ids = np.zeros(CACHE_IDS, np.int32)
-        self.n_words = self.n_ids = 0
+        # The bytes of each pre-token: the first eight as a number, and all of a longer one from ``byte_at`` on.
+        self.size, self.lane, self.byte_at = np.zeros(CACHE_WORDS, np.int32), np.zeros(CACHE_WORDS, np.uint64), np.zeros(CACHE_WORDS, np.int32)
+        self.bytes = np.zeros(CACHE_IDS, np.uint8)
+        self.n_words = self.n_ids = self.n_bytes = 0
 
-    def _learn(self, fresh: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of pre-tokens that are new."""
         ends = np.cumsum(lengths)
         take = np.arange(int(ends[-1])) + np.repeat(starts - (ends - lengths), lengths)
         ids, lens = self.vocab.merge(self.vocab.byte[raw[take]], lengths)
-        w, i = self.n_words + len(fresh), self.n_ids + len(ids)
+        long = lengths > 8
+        kept = raw[take[np.repeat(long, lengths)]]
+        w, i, b = self.n_words + len(starts), self.n_ids + len(ids), self.n_bytes + len(kept)
         if w > len(self.at):  # one block holds more than the bound
-            self.at, self.len = np.resize(self.at, w), np.resize(self.len, w)
-            self.known = Table(w.bit_length() + 1)
+            self.at, self.len, self.size, self.lane, self.byte_at = (np.resize(x, w) for x in (self.at, self.len, self.size, self.lane, self.byte_at))
         if i > len(self.ids):
             self.ids = np.resize(self.ids, i)
-        self.at[self.n_words : w] = self.n_ids + np.cumsum(lens) - lens
-        self.len[self.n_words : w] = lens
+        if b > len(self.bytes):
+            self.bytes = np.resize(self.bytes, b)
+        own = slice(self.n_words, w)
+        self.at[own], self.len[own] = self.n_ids + np.cumsum(lens) - lens, lens
         self.ids[self.n_ids : i] = ids
-        self.known.put(fresh, np.arange(self.n_words, w, dtype=np.int32))
-        self.n_words, self.n_ids = w, i
+        self.size[own], self.lane[own] = lengths, textkit.lanes(raw, starts, lengths)
+        self.bytes[self.n_bytes : b] = kept
+        before = np.cumsum(np.where(long, lengths, 0))
+        self.byte_at[own] = self.n_bytes + before - np.where(long, lengths, 0)
+        numbers = np.arange(self.n_words, w, dtype=np.int32)
+        self.n_words, self.n_ids, self.n_bytes = w, i, b
+        return numbers
+
+    def _others(self, no: np.ndarray, raw: np.ndarray, s: np.ndarray, size: np.ndarray, lane: np.ndarray) -> np.ndarray:
+        """Which pre-tokens do not have the bytes of the one remembered under their number."""
+        wrong = (self.size[no] != size) | (self.lane[no] != lane)
+        long = np.flatnonzero((size > 8) & ~wrong)
+        if len(long):
+            each = size[long]
+            ends = np.cumsum(each)
+            step = np.arange(int(ends[-1])) - np.repeat(ends - each, each)
+            differs = raw[step + np.repeat(s[long], each)] != self.bytes[step + np.repeat(self.byte_at[no[long]], each)]
+            wrong[long] = np.logical_or.reduceat(differs, ends - each)
+        return np.flatnonzero(wrong)
 
     def _block(self, text: str, offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of each pre-token in the memory, its length, end of each text in pre-tokens) for texts joined to one."""
@@ -245,22 +268,25 @@ class Encoder:
         byte_at = np.zeros(len(points) + 1, np.int64)
         np.cumsum(width, out=byte_at[1:])
         s = byte_at[begin]
-        e = np.append(s[1:], byte_at[-1])
-        power, inverse = textkit._powers(max(20, int(len(raw)).bit_length()))
-        run = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(textkit._BYTE[raw] * power[: len(raw)], dtype=np.uint64, out=run[1:])
-        hashed = textkit.mix((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64))
+        size = np.diff(s, append=byte_at[-1])
+        hashed, lane = textkit.span_hashes(raw, s, size)
         no = self.known.get(hashed)
         miss = no < 0
         if miss.any():
-            if self.n_words + int(miss.sum()) > CACHE_WORDS or self.n_ids + int((e - s)[miss].sum()) > CACHE_IDS:
+            if self.n_words + int(miss.sum()) > CACHE_WORDS or max(self.n_ids, self.n_bytes) + int(size[miss].sum()) > CACHE_IDS:
                 self._forget()
                 miss[:] = True
             rows = np.flatnonzero(miss)
             fresh, where = np.unique(hashed[rows], return_index=True)
             rows = rows[where]
-            self._learn(fresh, raw, s[rows], (e - s)[rows])
+            if self.n_words + len(rows) > CACHE_WORDS:
+                self.known = Table((self.n_words + len(rows)).bit_length() + 1)
+            self.known.put(fresh, self._learn(raw, s[rows], size[rows]))
             no[miss] = self.known.get(hashed[miss])
+        # Different pre-tokens of one hash: the second is encoded by itself and not remembered under the hash.
+        other = self._others(no, raw, s, size, lane)
+        if len(other):
+            no[other] = self._learn(raw, s[other], size[other])
         return self.at[no], self.len[no], np.searchsorted(begin, offs[1:])
 
     def blocks(self, column: pa.Array) -> Iterator[tuple[list[str], list[int]]]:

@@ -1,12 +1,15 @@
 """Vectorised splitting and hashing of UTF-8 text in numpy, over blocks of an Arrow string column.
 
-Words are the runs of bytes other than space and \\t..\\r, as in the pattern ``[^\\x20\\x09-\\x0D]+``.  A word's hash
-is a polynomial over its bytes (read off one running sum for the whole block) that goes through a 64-bit finaliser;
-an n-gram's hash mixes its word hashes.  The hashes depend on nothing but the bytes, so all workers agree.
+Words are the runs of bytes other than space and \\t..\\r, as in the pattern ``[^\\x20\\x09-\\x0D]+``.  A word of up to eight bytes
+is one 64-bit number, so no two of a length share a hash; further bytes go through a bijective, non-linear round per eight bytes, and
+words of more than ``LONG_BYTES`` through keyed BLAKE2b.  An n-gram's hash mixes its word hashes.  The hashes depend on nothing but
+the bytes, so all workers agree.  (Sums of byte times power, as ``_powers`` serves, collide modulo 2**64 for words that can be
+written down at once; they are good for choosing buckets only.)
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,12 +18,15 @@ import pyarrow as pa
 
 #: Text bytes that are processed at once; one longer text forms a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes up to which words are hashed by array rounds; a longer one is hashed by itself.
+LONG_BYTES = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _STEP = [np.uint64(x | 1) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
@@ -31,6 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SIZES = mix(np.arange(LONG_BYTES + 1, dtype=np.uint64) * _STEP[0] + _BASE)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
@@ -65,6 +72,27 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def lanes(raw: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The bytes from each place on, eight at most and no more than are ``left``, as one number each."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    every = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    return every[at] & _MASK[np.minimum(left, 8)]
+
+
+def span_hashes(raw: np.ndarray, s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first eight bytes as a number) of each span of ``size`` bytes from ``s`` on."""
+    first = lanes(raw, s, size)
+    hashed = mix(_SIZES[np.minimum(size, LONG_BYTES)] ^ first)
+    for k in range(8, LONG_BYTES, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        hashed[more] = mix((hashed[more] * _STEP[1]) ^ lanes(raw, s[more] + k, size[more] - k))
+    for i in np.flatnonzero(size > LONG_BYTES):
+        hashed[i] = int.from_bytes(hashlib.blake2b(raw[s[i] : s[i] + size[i]].tobytes(), digest_size=8, key=b"word").digest(), "little")
+    return hashed, first
+
+
 def words(raw: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each text), words in the order of the texts."""
     n = len(raw)
@@ -81,10 +109,7 @@ def words(raw: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.nda
     last = ink.copy()
     last[:-1] &= ~ink[1:] | edge[1:-1]
     s, e = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    power, inverse = _powers(max(20, int(n).bit_length()))
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[:n], dtype=np.uint64, out=run[1:])
-    hashed = mix((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64))
+    hashed, _ = span_hashes(raw, s, e - s)
     return hashed, np.bincount(np.searchsorted(offs, s, side="right") - 1, minlength=docs)
 
 
