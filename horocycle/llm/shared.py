@@ -1,31 +1,42 @@
-"""Shared-storage helpers and distributed connected components.
+"""Shared-storage helpers, joins with a table of unknown size, and distributed connected components.
 
 Everything that must outlive one job (so that a lost executor cannot lose it) is written as Parquet below the
-folder that ``spark.checkpoint.dir`` names.  When the session names none, as in local tests, a temporary one is set.
+folder that ``spark.checkpoint.dir`` names.  When a local session names none, as in tests, a temporary one is set; on a cluster
+that is an error.  Tables written within ``scratch`` are deleted when it ends.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side is broadcast after its rows were counted (about 16 MB for two longs a row).
-BROADCAST_ROWS = 1_000_000
+#: Measured bytes up to which a side is broadcast.
+BROADCAST_BYTES = 4 << 20
+#: 64-bit words of the bit table that stands in for a larger side: about 4 MB however large that side is.
+SIEVE_WORDS = 1 << 17
 #: Bytes of an Arrow batch where the session names none: operators work on blocks of at most a megabyte anyway.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where the session has none."""
+    """The folder that driver and executors share; a temporary one only where a local session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="horocycle-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -34,22 +45,106 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it again: lineage is cut and the rows survive lost executors."""
+    return _write(df, name, getattr(_OPEN, "paths", None))
+
+
+def _write(df: DataFrame, name: str, register: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if register is not None:
+        register.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables of one computation; ``kept`` writes the result, which belongs to the scratch around this one, if any."""
+
+    def __init__(self, around: list[str] | None) -> None:
+        self.around, self.paths = around, []
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        return _write(df, name, self.around)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Delete at the end, also after an error, what ``written`` wrote within; only tables of ``kept`` may be read later."""
+    own = Scratch(getattr(_OPEN, "paths", None))
+    _OPEN.paths = own.paths
+    try:
+        yield own
+    finally:
+        _OPEN.paths = own.around
+        context = spark.sparkContext
+        for name in own.paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let no Arrow batch of whole texts exceed BATCH_BYTES, on either side of the pipe; a session's own setting stays."""
     if _BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
-def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a written table for broadcast if it was counted to be small; otherwise leave the join to shuffle."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def row_bytes(schema: T.StructType) -> Column:
+    """The bytes of a row of flat columns as Spark holds it, arrays counted as of 8-byte items."""
+    total = F.lit(16 + 8 * len(schema)).cast("long")
+    for field in schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            total = total + 16 + 8 * F.greatest(F.size(field.name), F.lit(0))
+    return total
+
+
+def is_small(table: DataFrame) -> bool:
+    """Whether a written table was measured to be within BROADCAST_BYTES."""
+    return (table.agg(F.sum(row_bytes(table.schema))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join ``rows``, which may be wide, with the written ``table`` on ``keys``, which both have and which may be null.
+
+    ``how`` is inner, left, left_semi or left_anti; the keys come out once.  A small table is broadcast.  For a larger one a table of bits
+    of its key hashes, bounded in size, is broadcast instead: rows that it shows to be without a partner stay where they are
+    (or go), and only the others are shuffled and joined exactly.
+    """
+    inner = {k: f"_sieve_key_{i}" for i, k in enumerate(keys)}
+    other = table.withColumnsRenamed(inner)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(inner[k])) for k in keys))
+    tidy = lambda df: df.drop(*inner.values())
+    if is_small(table):
+        return tidy(rows.join(F.broadcast(other), same, how))
+    n = table.count()
+    words = min(SIEVE_WORDS, 1 << max(10, (n // 4).bit_length()))
+    place = lambda h: F.pmod(F.shiftrightunsigned(h, 6), F.lit(words))
+    hashed = table.select(F.xxhash64(*keys).alias("_sieve_hash"))
+    bits = hashed.groupBy(place(F.col("_sieve_hash")).alias("_sieve_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_sieve_hash & 63 as int)))").alias("_sieve_bits"))
+    marked = rows.withColumn("_sieve_hash", F.xxhash64(*keys))
+    marked = marked.join(F.broadcast(bits), place(F.col("_sieve_hash")) == F.col("_sieve_word"), "left")
+    maybe = F.expr("coalesce(shiftrightunsigned(_sieve_bits, cast(_sieve_hash & 63 as int)) & 1, 0L) = 1")
+    met = tidy(marked.where(maybe).drop("_sieve_hash", "_sieve_word", "_sieve_bits").join(other.hint("shuffle_merge"), same, how))
+    if how in ("inner", "left_semi"):
+        return met
+    rest = marked.where(~maybe).drop("_sieve_hash", "_sieve_word", "_sieve_bits")
+    for field in table.schema:
+        if how == "left" and field.name not in keys:
+            rest = rest.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return met.unionByName(rest)
+
+
+def joined_skewed(rows: DataFrame, table: DataFrame, key: str, often: Column, total: int) -> DataFrame:
+    """``rows`` inner ``table`` on ``key``, unique in ``table``, of which ``often`` counts the rows of a key.
+
+    Keys with more than a 10,000th of the ``total`` rows are fewer than 10,000, so their part of the table is broadcast and
+    their rows stay spread; the others are shuffled.
+    """
+    heavy = often > max(1_000, total // 10_000)
+    hot, cold = table.where(heavy), table.where(~heavy)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -87,3 +182,7 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
     comp = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct())
+
+
+def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    return F.broadcast(df) if is_small(df) else df
