@@ -56,9 +56,11 @@ def shard(docs: DataFrame, limit: int = 256 << 20) -> DataFrame:
     high = min(HASH_BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + SLACK_BITS))
     rest = rows
     while True:
-        fine = rest.withColumn("p", F.expr(f"shiftright(_h, {HASH_BITS - high})")).groupBy("p").agg(F.sum("n_bytes").alias("bytes"))
-        found = shared.written(_directory(shared.written(fine, "shard-bytes"), low, high, limit).withColumnRenamed("p", "_p"), "directory")
-        named = rest.join(shared.small_or_shuffled(found), F.expr(f"shiftright(_h, {HASH_BITS - high})") == F.col("_p")).drop("_p")
+        prefixed = rest.withColumn("p", F.expr(f"shiftright(_h, {HASH_BITS - high})"))
+        with shared.scratch(docs.sparkSession) as held:
+            fine = shared.written(prefixed.groupBy("p").agg(F.sum("n_bytes").alias("bytes")), "shard-bytes")
+            found = held.kept(_directory(fine, low, high, limit), "directory")
+        named = shared.looked_up(prefixed, found, ["p"], "inner").drop("p")
         done.append(named.where(F.col("depth") <= high))
         if not found.where(F.col("depth") > high).limit(1).count():
             break
