@@ -80,15 +80,16 @@ def base_rules(text: Column) -> Column:
     )
 
 
+def _hashed_lines(docs: DataFrame) -> DataFrame:
+    """``source, t, l``: digest of a text and hash of a line of it, each once."""
+    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x))
+    hashed = docs.where("text is not null").select("source", F.xxhash64("text").alias("t"), F.array_distinct(lines).alias("l"))
+    return hashed.select("source", "t", F.explode("l").alias("l")).distinct()
+
+
 def lines_above_limits(docs: DataFrame, least: int = LINE_DOCS, percent: int = LINE_PERCENT) -> DataFrame:
     """``source, lines``: per host the hashes of its normalised lines in at least ``least`` and ``percent`` of its distinct documents."""
-    hashed = docs.where("text is not null").select(
-        "source",
-        F.xxhash64("text").alias("t"),
-        F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("l"),
-    )
-    seen = hashed.select("source", "t", F.explode("l").alias("l")).distinct()
-    often = seen.groupBy("source", "l").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    often = _hashed_lines(docs).groupBy("source", "l").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     size = docs.where("text is not null").select("source", F.xxhash64("text").alias("t")).distinct().groupBy("source").agg(F.count("*").alias("docs"))
     above = often.join(size.withColumnRenamed("source", "_host"), F.col("source").eqNullSafe(F.col("_host")))
     above = above.where(F.expr(f"100 * n >= {percent} * docs"))
@@ -96,9 +97,18 @@ def lines_above_limits(docs: DataFrame, least: int = LINE_DOCS, percent: int = L
 
 
 def with_lines_above(docs: DataFrame, least: int, percent: int) -> DataFrame:
-    """``docs(text, source, ...)`` with ``_above``, the hashes of its host's lines above the limits (null: none)."""
-    above = lines_above_limits(docs.select("source", "text"), least, percent).select(F.col("source").alias("_host"), F.col("lines").alias("_above"))
-    return docs.join(shared.small_or_shuffled(above), F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
+    """``docs(text, source, ...)`` with ``lines``, the hashes of its host's lines above the limits (null: none).
+
+    Where the lists of all hosts are too large to broadcast, ``lines`` holds those that the text itself has: only hashes meet the lists.
+    """
+    own = docs.select("source", "text")
+    above = lines_above_limits(own, least, percent)
+    if shared.is_small(above):
+        return shared.looked_up(docs, above, ["source"], "left")
+    single = shared.written(above.select("source", F.explode("lines").alias("l")), "line-of-host")
+    found = shared.looked_up(_hashed_lines(own), single, ["source", "l"], "left_semi").groupBy("source", "t").agg(F.collect_list("l").alias("lines"))
+    found = shared.written(found, "lines-above-of-texts")
+    return shared.looked_up(docs.withColumn("t", F.xxhash64("text")), found, ["source", "t"], "left").drop("t")
 
 
 def judged(depleted: int, text: Column, above: Column) -> Column:
@@ -141,7 +151,7 @@ def quality_rules(docs: DataFrame, least: int = LINE_DOCS, percent: int = LINE_P
     source is a host of its own; a null doc_id stays null; repeated rows are judged alike; other columns are ignored.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "source")
-    found = with_lines_above(docs, least, percent).select("doc_id", F.inline(judged(depleted, F.col("text"), F.col("_above"))))
+    found = with_lines_above(docs, least, percent).select("doc_id", F.inline(judged(depleted, F.col("text"), F.col("lines"))))
     return found.drop("rest")
 
 
@@ -152,6 +162,6 @@ def apply_rules(docs: DataFrame, least: int = LINE_DOCS, percent: int = LINE_PER
     """
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars"))).alias("_own")
     rows = with_lines_above(docs.select(own, F.col("text").cast("string").alias("text"), "source"), least, percent)
-    found = rows.select("_own", F.inline(F.filter(judged(depleted, F.col("text"), F.col("_above")), lambda v: v["kept"])))
+    found = rows.select("_own", F.inline(F.filter(judged(depleted, F.col("text"), F.col("lines")), lambda v: v["kept"])))
     new = {"text": F.col("rest").alias("text"), "n_chars": F.length("rest").cast("long").alias("n_chars")}
     return found.select(*(new[c] if c in new else F.col("_own").getField(c).alias(c) for c in docs.columns))
