@@ -9,6 +9,10 @@ counts are verified by banded bit-parallel edit distance.
 
 Only hashes are shuffled until few lines are left: a key that one line alone has goes no further, and texts are
 fetched for the rest.  A line that many documents share sends its keys once.
+
+A key that very many lines share (a template's segment) would let all of them meet.  Its rows are dealt by salt instead of gathered, its
+lines are first held against a few pivots of the key, and two lines meet again only where one of them is still undecided
+and they share, under that key, a second key as well: a segment of what is left of them without the first.
 """
 
 from __future__ import annotations
@@ -23,33 +27,43 @@ THRESHOLD, MIN_CHARS = 2, 40
 _LETTERS = "etaonisrhdlucmfw"
 
 
-def _segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of each segment of a line: as even as can be, the longer ones last."""
-    k = threshold + 1
-    size, more = F.floor(length / k).cast("int"), length % k
-    longer = [F.when(F.lit(i) >= F.lit(k) - more, 1).otherwise(0) for i in range(k)]
-    out, start = [], F.lit(1)
-    for i in range(k):
-        out.append((start, size + longer[i]))
-        start = start + size + longer[i]
-    return out
+#: Index rows of a key above which it is a hot one, and index rows of one task's share of a key.
+HOT_LINES, SHARE = 64, 1024
+#: Of the documents, one in this many is looked at to tell which keys get salts; results do not depend on it.
+SAMPLE, SALTS = 128, 64
+
 
+def _codes(threshold: int) -> Column:
+    """The keys of a line as one array of numbers, each a segment, how much shorter the indexed line is, and a shift.
 
-def _keys(threshold: int) -> Column:
-    """The index and probe keys of a line: structs of (key, probe)."""
-    line, n = F.col("line"), F.col("n")
+    Shift and difference 0 are the line's own segments, which index it; the others are what the multi-match-aware rule leaves.
+    """
     out = []
-    for i, (start, size) in enumerate(_segments(n, threshold)):
-        out.append(F.struct(F.xxhash64(n, F.lit(i), F.substring(line, start, size)).alias("key"), F.lit(False).alias("probe")))
     for delta in range(threshold + 1):
-        for i, (start, size) in enumerate(_segments(n - delta, threshold)):
-            low, high = max(-i, delta - (threshold - i)), min(i, delta + (threshold - i))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(n - delta, F.lit(i), F.substring(line, start + shift, size))
-                out.append(F.struct(key.alias("key"), F.lit(True).alias("probe")))
+        for i in range(threshold + 1):
+            for shift in range(max(-i, delta - (threshold - i)), min(i, delta + (threshold - i)) + 1):
+                out.append(F.lit((i << 16) | (delta << 8) | (shift + 128)))
     return F.array(*out)
 
 
+def _placed(lines: DataFrame, threshold: int) -> DataFrame:
+    """``lines(line, n, ...)`` once for each of its keys, with ``i, delta, shift, start, size`` of the segment (start from 1).
+
+    Segments are as even as can be, the longer ones last.  One small expression a row stays within compiled code.
+    """
+    rows = lines.select("*", F.explode(_codes(threshold)).alias("code"))
+    rows = rows.selectExpr("* except (code)", "shiftright(code, 16) as i", "shiftright(code, 8) & 255 as delta", "(code & 255) - 128 as shift")
+    k = threshold + 1
+    return rows.selectExpr(
+        "*", f"i * ((n - delta) div {k}) + greatest(0, i - {k} + (n - delta) % {k}) + 1 + shift as start", f"(n - delta) div {k} + if(i >= {k} - (n - delta) % {k}, 1, 0) as size"
+    )
+
+
+def _keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """``h, key, probe``: rows that only probe, and rows (not ``probe``) that also index their line."""
+    return _placed(lines, threshold).selectExpr("h", "xxhash64(n - delta, i, substring(line, start, size)) as key", "delta <> 0 or shift <> 0 as probe")
+
+
 def _letters(line: Column) -> Column:
     """Counts modulo 16 of the commonest letters, four bits each."""
     out = F.lit(0).cast("long")
@@ -131,44 +145,124 @@ def _line_table(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
     return lines, shared.written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "t")).alias("first"), F.count("*").alias("times")), "line-firsts")
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``a, b``: hashes of different normalised lines of ``docs(doc_id, text)`` within ``threshold`` edits, each pair once."""
-    occurrences = _occurrences(docs, min_chars)
-    # Lines with more than 1 in 100,000 of the occurrences (so at most as many lines) send their keys from their first one only.
+def _once(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
+    """``h, line, n`` of the occurrences that send keys: all but the later ones of lines that occur often."""
     total = firsts.agg(F.sum("times")).first()[0] or 0
+    # Lines with more than 1 in 100,000 of the occurrences, so fewer than 100,000 lines.
     often = firsts.where(F.col("times") > max(8, total // 100_000)).select(F.col("h").alias("_h"), "first")
-    once = occurrences.join(F.broadcast(often), F.col("h") == F.col("_h"), "left").where(F.col("first").isNull() | (F.struct("doc_id", "pos", "t") == F.col("first")))
-    rows = once.select("h", F.explode(_keys(threshold)).alias("k")).select("h", "k.key", "k.probe")
-    own = Window.partitionBy("key")
-    rows = rows.withColumn("lo", F.min("h").over(own)).withColumn("hi", F.max("h").over(own))
-    rows = rows.withColumn("indexed", F.min("probe").over(own)).where("lo <> hi and not indexed").select("h", "key", "probe")
-    rows = shared.written(rows.distinct(), "line-keys")
-    wanted = rows.select("h").distinct().join(firsts.select("h", "first.doc_id", "first.pos", "first.t"), "h")
-    wanted = shared.written(wanted.select(F.col("h").alias("_h"), F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), F.col("t").alias("_t")), "line-places")
-    texts = docs.join(shared.small_or_shuffled(wanted), (F.xxhash64("text") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    texts = texts.select(F.col("_h").alias("h"), normal_line(F.get(F.split("text", "\n"), F.col("_pos"))).alias("line")).where(F.xxhash64("line") == F.col("h"))
-    texts = shared.written(texts.dropDuplicates(["h"]).select("h", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters")), "line-texts")
-    signed = rows.join(texts.select("h", "n", "letters"), "h")
-    a, b = signed.where("not probe").alias("a"), signed.where("probe").alias("b")
-    close = f"a.key = b.key and a.h <> b.h and b.n >= a.n and b.n - a.n <= {threshold} and {_apart('a.letters', 'b.letters')} <= {2 * threshold}"
-    pairs = a.join(b, F.expr(close)).select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b")).distinct()
-    pairs = shared.written(pairs, "line-pairs")
-    x = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
-    y = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(edit_distance_within(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
+    once = _occurrences(docs, min_chars).join(F.broadcast(often), F.col("h") == F.col("_h"), "left")
+    return once.where(F.col("first").isNull() | (F.struct("doc_id", "pos", "t") == F.col("first"))).select("h", "line", "n")
+
+
+def _contested(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``h, key, probe, hot`` of ``rows(h, key, probe)`` whose key another line has too, one of the two as index.
+
+    Rows of ``heavy(key)`` stay unseen: they are known to be shared and are spread by salts.
+    """
+    rows = rows.join(F.broadcast(heavy.select("key", F.lit(True).alias("heavy"))), "key", "left").withColumn("heavy", F.col("heavy").isNotNull())
+    own = Window.partitionBy("key", F.expr(f"if(heavy, pmod(h, {SALTS}), -1)"))
+    rows = rows.select("*", F.min("h").over(own).alias("lo"), F.max("h").over(own).alias("hi"), F.count(F.expr("if(probe, null, 1)")).over(own).alias("indexed"))
+    return rows.where("heavy or (lo <> hi and indexed > 0)").select("h", "key", "probe", F.expr(f"heavy or indexed > {HOT_LINES}").alias("hot")).distinct()
+
+
+def _heavy(rows: DataFrame) -> DataFrame:
+    """``key`` of a share of rows that very many of these have; at most 10,000."""
+    sampled = shared.written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n >= 16"), "sampled-keys")
+    total = sampled.agg(F.sum("n")).first()[0] or 0
+    return sampled.where(F.col("n") > max(64, total // 10_000)).select("key")
+
+
+def _close(threshold: int) -> str:
+    return f"a.h <> b.h and b.n >= a.n and b.n - a.n <= {threshold} and {_apart('a.letters', 'b.letters')} <= {2 * threshold}"
+
+
+def _pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """``a, b`` of ``rows(h, key, probe, n, letters, ...)`` that share a key and may be near; a large key's index rows are dealt to several tasks."""
+    rows = rows.withColumn("shares", F.expr(f"if(hot, {SALTS}, 1)"))
+    index = rows.where("not probe").selectExpr("*", "pmod(h, shares) as share").alias("a")
+    probes = rows.selectExpr("*", "explode(sequence(0, shares - 1)) as share").alias("b")
+    both = index.join(probes, F.expr(f"a.key = b.key and a.share = b.share and {_close(threshold)} and not (a.decided and b.decided)"))
+    return both.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b")).distinct()
+
+
+def _later(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """``h`` of the later line of each of ``pairs(a, b)`` that is within ``threshold`` edits."""
+    x = texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("first").alias("p"))
+    y = texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("first").alias("q"))
+    near = pairs.join(x, "a").join(y, "b").where(edit_distance_within(F.col("x"), F.col("y"), threshold) <= threshold)
+    return near.select(F.expr("if(p < q, b, a)").alias("h")).distinct()
+
+
+def _under_hot_keys(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """``h`` of lines with an earlier near line, by the hot ones of ``rows(h, key, probe, hot)``; see the module's text."""
+    hot = shared.written(rows.where("hot").join(texts.select("h", "n", "letters", "first"), "h"), "hot-line-keys")
+    pivots = hot.where("not probe").groupBy("key", F.pmod("h", F.lit(8)).alias("s")).agg(F.min(F.struct("first", "h", "n", "letters")).alias("p"))
+    pivots = pivots.select("key", "p.h", "p.n", "p.letters").alias("a")
+    pivots = shared.written(pivots.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) as share"), "line-pivots").alias("a")
+    probes = hot.selectExpr("*", f"pmod(h, {SALTS}) as share").alias("b")
+    met = probes.join(pivots, F.expr(f"a.key = b.key and a.share = b.share and {_close(threshold)}"))
+    met = shared.written(met.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct(), "line-pivot-pairs")
+    decided = shared.written(_later(met, texts, threshold), "lines-by-pivot")
+
+    keys = shared.written(hot.select("key").distinct(), "hot-keys")
+    lines = texts.join(hot.select("h").distinct(), "h", "left_semi").select("h", "line", "n")
+    under = _placed(lines, threshold).selectExpr("*", "xxhash64(n - delta, i, substring(line, start, size)) as key", "delta <> 0 or shift <> 0 as probe")
+    under = shared.looked_up(under, keys, ["key"], "left_semi")
+    # What is left of both lines is as near as the lines are, and its lengths differ by as much.
+    under = under.selectExpr("h", "key", "probe", "delta as d", "concat(substring(line, 1, start - 1), substring(line, start + size, n)) as line", "n - size as n")
+    again = _placed(under, threshold).where("delta = d")
+    again = again.selectExpr("h", "xxhash64(key, n - delta, i, substring(line, start, size)) as key", "probe or shift <> 0 as probe")
+    again = shared.written(_contested(again, _heavy(again.where(F.pmod("h", F.lit(SAMPLE)) == 0))), "line-second-keys")
+    again = shared.looked_up(again.join(texts.select("h", "n", "letters"), "h"), decided.withColumn("decided", F.lit(True)), ["h"], "left").withColumn("decided", F.col("decided").isNotNull())
+    pairs = shared.written(_pairs(again, threshold), "line-pairs")
+    return decided.unionByName(_later(pairs, texts, threshold)).distinct()
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``h``: hashes of normalised lines of ``docs(doc_id, text, t)`` of which an earlier, different line is within ``threshold`` edits."""
+    some = docs.where(F.pmod("t", F.lit(SAMPLE)) == 0)
+    heavy = _heavy(_keys(_occurrences(some, min_chars), threshold))
+    rows = shared.written(_contested(_keys(_once(docs, firsts, min_chars), threshold), heavy), "line-keys")
+    wanted = rows.select("h").distinct().join(firsts.select("h", "first"), "h")
+    wanted = shared.written(wanted.select("h", "first.doc_id", "first.pos", "first.t"), "line-places")
+    lines = _occurrences(docs, min_chars).select("doc_id", "t", "pos", "line")
+    texts = shared.looked_up(lines, wanted, ["doc_id", "t", "pos"], "inner").select("h", F.struct("doc_id", "pos", "t").alias("first"), "line")
+    texts = texts.where(F.xxhash64("line") == F.col("h"))
+    texts = shared.written(texts.dropDuplicates(["h"]).select("h", "line", "first", F.length("line").alias("n"), _letters(F.col("line")).alias("letters")), "line-texts")
+    cold = rows.where("not hot").join(texts.select("h", "n", "letters"), "h").withColumn("decided", F.lit(False))
+    out = _later(shared.written(_pairs(cold, threshold), "line-pairs"), texts, threshold)
+    if rows.where("hot").isEmpty():
+        return out
+    return out.unionByName(_under_hot_keys(rows, texts, threshold)).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, t, removed``: the numbers (from 0, ascending) of the removed lines of each id and text digest that loses any."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    occurrences, firsts = _line_table(docs, min_chars)
-    near = near_lines(docs, firsts, threshold, min_chars)
-    both = shared.written(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-lines")
-    other = both.join(firsts.select(F.col("h").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-    acts = firsts.join(other.withColumnRenamed("a", "h"), "h", "left").where("times > 1 or other < first")
-    acts = shared.written(acts.select(F.col("h").alias("_h"), F.when(F.expr("other < first"), None).otherwise(F.col("first")).alias("stays")), "line-acts")
-    hit = occurrences.join(shared.small_or_shuffled(acts), F.col("h") == F.col("_h")).where(~F.struct("doc_id", "pos", "t").eqNullSafe(F.col("stays")))
-    return shared.written(hit.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed-lines")
+    with shared.scratch(docs.sparkSession) as held:
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+        occurrences, firsts = _line_table(docs, min_chars)
+        near = shared.written(near_lines(docs, firsts, threshold, min_chars).withColumn("near", F.lit(True)), "near-lines")
+        acts = shared.looked_up(firsts, near, ["h"], "left").where("times > 1 or near")
+        acts = shared.written(acts.select("h", F.expr("if(near, null, first)").alias("stays")), "line-acts")
+        hit = shared.looked_up(occurrences, acts, ["h"], "inner").where(~F.struct("doc_id", "pos", "t").eqNullSafe(F.col("stays")))
+        return held.kept(hit.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed-lines")
+
+
+def _cut(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """``own, text, n_lines, removed, new_text``: the rows of ``docs``, columns but the text in a struct, with the removed line numbers (null: none)."""
+    gone = removed_lines(docs, threshold, min_chars)
+    text = F.col("text").cast("string")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own"), text.alias("text"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"),
+    )
+    stays = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    out = shared.looked_up(rows, gone, ["doc_id", "t"], "left")
+    return out.select("own", "text", "n_lines", "removed", F.when(F.col("removed").isNull(), F.col("text")).otherwise(stays).alias("new_text"))
+
+
+def _own(column: str) -> Column:
+    return F.col("text") if column == "text" else F.col("own").getField(column).alias(column)
 
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -177,25 +271,23 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     Lines are split at \\n and normalised (lower case, white space collapsed); shorter ones than ``min_chars`` stay, whatever
     they repeat.  The earliest occurrence stays, by doc_id (null first), then by line; of several rows of one id (or none)
     with different texts, by the text's digest.  Repeated rows count as one document and lose the same lines.  Null text stays null with no lines; an empty text is one line.  Other columns
-    are passed on; they must not be named as the added ones.
+    are passed on, but for those named as the added ones, which the added ones replace.
     """
-    gone = removed_lines(docs, threshold, min_chars).withColumnsRenamed({"doc_id": "_doc", "t": "_t"})
-    own = (F.xxhash64(docs["text"].cast("string")) == F.col("_t")) & docs["doc_id"].eqNullSafe(F.col("_doc"))
-    out = docs.join(shared.small_or_shuffled(gone), own, "left").drop("_doc", "_t")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    stays = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return (
-        out.withColumnRenamed("removed", "_gone")
-        .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn("removed", F.coalesce(F.array_join("_gone", ","), F.lit("")))
-        .withColumn("new_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(stays))
-        .drop("_gone")
-    )
+    out = _cut(docs, threshold, min_chars)
+    added = {
+        "n_lines": F.col("n_lines"),
+        "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long"),
+        "removed": F.coalesce(F.array_join("removed", ","), F.lit("")),
+        "new_text": F.col("new_text"),
+    }
+    return out.select(*(_own(c) for c in docs.columns if c not in added), *(x.alias(c) for c, x in added.items()))
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with its own columns, without the removed lines; ``n_chars`` follows.  Rows left without a word go."""
-    out = line_dedup(docs).where(F.col("n_removed").eqNullSafe(0) | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
+    """The rows of ``docs`` with its own columns, without the removed lines; ``n_chars`` follows.  Rows left without a word go.
+
+    Columns of any name pass unchanged; see ``line_dedup`` for nulls and repeated rows.
+    """
+    out = _cut(docs, THRESHOLD, MIN_CHARS).where(F.col("removed").isNull() | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
     size = F.length("new_text").cast("long")
-    return out.select(*(F.col("new_text").alias("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*(F.col("new_text").alias("text") if c == "text" else size.alias(c) if c == "n_chars" else _own(c) for c in docs.columns))

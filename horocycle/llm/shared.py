@@ -182,7 +182,3 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
     comp = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct())
-
-
-def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
-    return F.broadcast(df) if is_small(df) else df
