@@ -15,7 +15,8 @@ SCHEMA = "sequence_id {0}, n_windows int, score double, variance double, bimodal
 def two_means(points: np.ndarray, steps: int = 20) -> tuple[float, float, float, int | None]:
     """(bimodality, separation, balance, breakpoint) of at least four points; zeros where they don't split in two.
 
-    Starts from the farthest pair; a point is of the second cluster where its centre is strictly nearer.
+    Starts from the farthest pair; a point is of the second cluster where its centre is strictly nearer.  The spread within is the mean
+    of the two clusters' own; the breakpoint is the last window before the middle one of the changes of cluster.
     """
     nothing = (0.0, 0.0, 0.0, None)
     if len(points) < 4:
@@ -32,10 +33,10 @@ def two_means(points: np.ndarray, steps: int = 20) -> tuple[float, float, float,
         a, b = points[~label].mean(0), points[label].mean(0)
     n0, n1 = int((~label).sum()), int(label.sum())
     separation = float(np.linalg.norm(a - b))
-    within = float((((points[~label] - a) ** 2).sum() + ((points[label] - b) ** 2).sum()) / len(points))
+    within = float((((points[~label] - a) ** 2).sum(1).mean() + ((points[label] - b) ** 2).sum(1).mean()) / 2)
     between = separation**2 / 4
     bimodality = min(1.0, between / (within + between)) if within >= 1e-10 else 0.0
-    turns = np.flatnonzero(label[1:] != label[:-1]) + 1
+    turns = np.flatnonzero(label[1:] != label[:-1])
     return bimodality, separation, min(n0, n1) / max(n0, n1), int(turns[len(turns) // 2]) if len(turns) else None
 
 
