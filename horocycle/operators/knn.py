@@ -1,15 +1,14 @@
 """Exact geodesic nearest neighbours.
 
-Queries never move: each worker holds a block of prototypes as a matrix and finds the k nearest of it for batches of queries by
-one matrix product.  One block holds what fits a checked bound; more prototypes come in several blocks, whose
-partial top-k lists are merged per query.  Ties go to the smaller id.
+Up to a checked bound the prototypes are one matrix on every worker: queries never move, and the k nearest of a batch of them come from one
+matrix product.  More prototypes stay on the executors: they and the queries are dealt to blocks of bounded size, every pair of blocks
+is one task's matrix product, and the partial top-k lists are merged per query.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,82 +21,111 @@ from horocycle.functions.constants import KAPPA, TOP_K
 
 #: Doubles in one block of prototypes: 64 MB on a worker.
 BLOCK_VALUES = 1 << 23
-_QUERY_ROWS = 256
-
-
-def _top(ids: np.ndarray, points: np.ndarray, k: int, kappa: float, others: bool, id_type: str):
-    """Map batches of (qid, embedding) to their k nearest of ``points``."""
-    norms = (points * points).sum(1)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, _QUERY_ROWS):
-                part = batch.slice(lo, _QUERY_ROWS)
-                part = part.filter(pa.compute.is_valid(part.column(1)))
-                q = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1)
-                if not len(q) or not len(points):
-                    continue
-                qid = np.array(part.column(0).to_pylist(), object)
-                nq = (q * q).sum(1)
-                near = N.distance_from(np.maximum(nq[:, None] + norms[None, :] - 2 * (q @ points.T), 0), nq[:, None], norms[None, :], kappa)
-                if others:
-                    near[qid[:, None] == ids[None, :]] = np.inf
-                take = min(k + 8, len(ids))
-                some = np.argpartition(near, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-                out: list[tuple] = []
-                for i in range(len(q)):
-                    pick = some[i]
-                    edge = near[i, pick].max()
-                    if take < len(ids) and (near[i, pick] < edge).sum() < k:  # more ties than spare places: look at all
-                        pick = np.flatnonzero(near[i] <= edge)
-                    exact = N.distance(q[i][None, :], points[pick], kappa)
-                    exact[~np.isfinite(near[i, pick])] = np.inf
-                    ranked = sorted(zip(exact.tolist(), ids[pick].tolist(), strict=True))[:k]
-                    out.extend((qid[i], r + 1, t, d) for r, (d, t) in enumerate(ranked) if math.isfinite(d))
-                cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], part.column(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string() if id_type == "string" else pa.int64()), pa.array(cols[3], pa.float64())],
-                    names=["qid", "rk", "id", "dist"],
-                )
-
-    return run
-
-
-def _blocks(prototypes: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Prototypes as (ids, matrix) in blocks of bounded size."""
-    ids, points, held = [], [], 0
-    for row in prototypes.toLocalIterator():
-        if row[1] is None:
-            continue
-        ids.append(row[0])
-        points.append(row[1])
-        held += len(row[1])
-        if held >= BLOCK_VALUES:
-            yield np.array(ids, object), np.array(points, float)
-            ids, points, held = [], [], 0
-    if ids:
-        yield np.array(ids, object), np.array(points, float)
+#: Doubles of the distances that are held at once, and queries of a block where these are dealt, too.
+_MATRIX_VALUES, QUERY_BLOCK = 1 << 22, 1 << 16
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a list column without nulls, all of one length, as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def nearest(q: np.ndarray, points: np.ndarray, k: int, kappa: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the k nearest ``points`` of each row of ``q``, nearest first, ties by place; infinite where there are fewer.
+
+    ``own`` names a point that is not a neighbour of the row (-1: none).
+    """
+    n = len(points)
+    take = min(k + 8, n)
+    norms, nq = (points * points).sum(1), (q * q).sum(1)
+    near = N.distance_from(np.maximum(nq[:, None] + norms[None, :] - 2 * (q @ points.T), 0), nq[:, None], norms[None, :], kappa)
+    if own is not None:
+        rows = np.flatnonzero(own >= 0)
+        near[rows, own[rows]] = np.inf
+    some = np.argpartition(near, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(q), 1))
+    exact = N.distance(q[:, None, :], points[some], kappa)
+    rough = np.take_along_axis(near, some, 1)
+    exact[~np.isfinite(rough)] = np.inf
+    order = np.lexsort((some, exact), axis=1)[:, :k]
+    place, dist = np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
+    if take < n:  # more ties than spare places: look at all of them
+        edge = rough.max(1)
+        for i in np.flatnonzero((rough < edge[:, None]).sum(1) < k):
+            every = np.flatnonzero(near[i] <= edge[i])
+            all_exact = N.distance(q[i][None, :], points[every], kappa)
+            all_exact[~np.isfinite(near[i, every])] = np.inf
+            order = np.lexsort((every, all_exact))[:k]
+            place[i], dist[i] = every[order], all_exact[order]
+    return place, dist
+
+
+class Block:
+    """Prototypes in order of their ids."""
+
+    def __init__(self, ids: pa.Array, embeddings: pa.Array) -> None:
+        keys = np.array(ids.to_pylist(), object if pa.types.is_string(ids.type) else np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ids = keys[order], ids.take(pa.array(order))
+        self.points = np.ascontiguousarray(matrix(embeddings)[order])
+
+    def search(self, qid: pa.Array, embeddings: pa.Array, k: int, kappa: float, others: bool) -> Iterator[pa.RecordBatch]:
+        """``qid, rk, id, dist`` of batches of queries."""
+        step = max(1, _MATRIX_VALUES // max(1, len(self.points)))
+        for lo in range(0, len(qid) if len(self.points) else 0, step):
+            part, q = qid.slice(lo, step), matrix(embeddings.slice(lo, step))
+            own = None
+            if others:
+                names = np.array(part.to_pylist(), self.keys.dtype)
+                own = np.minimum(np.searchsorted(self.keys, names), len(self.keys) - 1)
+                own = np.where(self.keys[own] == names, own, -1)
+            place, dist = nearest(q, self.points, k, kappa, own)
+            row, rank = np.nonzero(np.isfinite(dist))
+            yield pa.RecordBatch.from_arrays(
+                [part.take(pa.array(row)), pa.array(rank + 1, pa.int32()), self.ids.take(pa.array(place[row, rank])), pa.array(dist[row, rank])], names=["qid", "rk", "id", "dist"]
+            )
+
+
+def fits_one_block(prototypes: DataFrame) -> bool:
+    return (prototypes.agg(F.sum(F.size("embedding"))).first()[0] or 0) <= BLOCK_VALUES
 
 
 def geodesic_knn(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kappa: float = KAPPA, others: bool = False) -> DataFrame:
     """``qid, rk, id, dist``: the k nearest of ``prototypes(id, embedding)`` for each of ``queries(qid, embedding)``.
 
-    With ``others`` a query is not its own neighbour (equal ids).  Fewer prototypes than k give fewer rows; none give no rows.
-    Works on streaming queries as long as the prototypes fit one block.
+    With ``others`` a query is not its own neighbour (equal ids).  Fewer prototypes than k give fewer rows; none give no rows;
+    rows without an embedding are left out on either side.  Works on streaming queries as long as the prototypes fit one block.
     """
-    queries = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
-    prototypes = prototypes.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    id_type = dict(prototypes.dtypes)["id"]
-    id_type = id_type if id_type == "string" else "bigint"
-    schema = f"qid {dict(queries.dtypes)['qid']}, rk int, id {id_type}, dist double"
-    parts = [queries.mapInArrow(_top(ids, points, k, kappa, others, id_type), schema) for ids, points in _blocks(prototypes)]
-    if not parts:
-        return queries.sparkSession.createDataFrame([], schema)
-    if len(parts) == 1:
-        return parts[0]
+    queries = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    kind = "string" if dict(prototypes.dtypes)["id"] == "string" else "bigint"
+    prototypes = prototypes.select(F.col("id").cast(kind).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    schema = f"qid {dict(queries.dtypes)['qid']}, rk int, id {kind}, dist double"
+    if fits_one_block(prototypes):
+        table = prototypes.toArrow()
+        block = Block(table["id"].combine_chunks(), table["embedding"].combine_chunks())
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from block.search(batch.column(0), batch.column(1), k, kappa, others)
+
+        return queries.mapInArrow(run, schema)
+    if queries.isStreaming:
+        raise ValueError("the prototypes of a stream must fit one block")
+    size = prototypes.agg(F.sum(F.size("embedding"))).first()[0]
+    across, down = 2 * math.ceil(size / BLOCK_VALUES), math.ceil(queries.count() / QUERY_BLOCK)
+    left = queries.select("*", F.pmod(F.xxhash64("qid"), F.lit(down)).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("_p"))
+    right = prototypes.select("*", F.pmod(F.xxhash64("id"), F.lit(across)).alias("_p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("_q"))
+
+    def pair(some: pa.Table, block: pa.Table) -> pa.Table:
+        made = Block(block["id"].combine_chunks(), block["embedding"].combine_chunks())
+        found = made.search(some["qid"].combine_chunks(), some["embedding"].combine_chunks(), k, kappa, others) if some.num_rows and block.num_rows else []
+        empty = pa.schema([("qid", some.schema.field("qid").type), ("rk", pa.int32()), ("id", block.schema.field("id").type), ("dist", pa.float64())])
+        return pa.Table.from_batches(found, empty)
+
+    parts = left.groupBy("_p", "_q").cogroup(right.groupBy("_p", "_q")).applyInArrow(pair, schema)
     best = Window.partitionBy("qid").orderBy("dist", "id")
-    merged = reduce(DataFrame.unionByName, parts).withColumn("rk", F.row_number().over(best))
-    return merged.where(F.col("rk") <= k)
+    return parts.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k)
 
 
 def geodesic_knn_sql(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kappa: float = KAPPA, others: bool = False) -> DataFrame:

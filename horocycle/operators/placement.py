@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from horocycle.functions import geometry as G
 from horocycle.functions.constants import KAPPA, TOP_K
 from horocycle.operators import calibration as C
-from horocycle.operators.knn import geodesic_knn
+from horocycle.operators.knn import Block, fits_one_block, geodesic_knn, matrix, nearest
 
 
 def _results(queries: DataFrame, found: DataFrame, prototypes: DataFrame, kappa: float) -> DataFrame:
@@ -46,11 +49,70 @@ def place_flat(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kappa:
     return _results(queries, geodesic_knn(queries, prototypes, k, kappa), prototypes, kappa)
 
 
+class Descent:
+    """Prototypes by rank, and for each the places of those of the next populated rank below it."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        ranks = rows["rank"].to_numpy()
+        lineages = rows["lineage"].to_pylist()
+        self.levels: list[Block] = []
+        self.below: list[dict] = []
+        for rank in np.unique(ranks):
+            at = pa.array(np.flatnonzero(ranks == rank))
+            level = Block(rows["id"].take(at).combine_chunks(), rows["embedding"].take(at).combine_chunks())
+            lineage_of = dict(zip(rows["id"].take(at).to_pylist(), (lineages[i.as_py()] for i in at), strict=True))
+            below: dict = {}
+            for place, key in enumerate(level.keys.tolist()):
+                for parent in set(lineage_of[key] or ()):
+                    below.setdefault(parent, []).append(place)
+            self.levels.append(level)
+            self.below.append({parent: np.array(x) for parent, x in below.items()})
+
+    def search(self, q: np.ndarray, k: int, kappa: float) -> Iterator[tuple[int, list[tuple[float, object]]]]:
+        """(row, its k nearest candidates of all ranks as (distance, id))."""
+        found: list[list] = [[] for _ in range(len(q))]
+        ids = [level.keys.tolist() for level in self.levels]
+        groups = [(np.arange(len(q)), np.arange(len(ids[0])))] if ids else []
+        for depth, level in enumerate(self.levels):
+            winner: dict = {}
+            for rows, places in groups:
+                near, dist = nearest(q[rows], level.points[places], k, kappa)
+                for row, some, d in zip(rows.tolist(), places[near].tolist(), dist.tolist(), strict=True):
+                    found[row].extend((x, ids[depth][p]) for x, p in zip(d, some, strict=True))
+                    winner.setdefault(ids[depth][some[0]], []).append(row)
+            if depth + 1 < len(self.levels):
+                groups = [(np.array(rows), self.below[depth + 1][x]) for x, rows in winner.items() if x in self.below[depth + 1]]
+        for row, candidates in enumerate(found):
+            yield row, sorted(candidates)[:k]
+
+
 def place_hierarchical(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kappa: float = KAPPA) -> DataFrame:
     """Descend the populated ranks: at each, only prototypes whose lineage has the nearest one of the rank before.
 
-    The candidates of all ranks are merged by distance.  A query stops where its nearest has no children.
+    The candidates of all ranks are merged by distance.  A query stops where its nearest has no children.  Prototypes that fit one
+    block go to every worker and queries descend in one pass without a shuffle; more are joined rank by rank.
     """
+    if fits_one_block(prototypes):
+        chosen = prototypes.select(F.col("id").cast("string").alias("id"), "rank", F.col("embedding").cast("array<double>").alias("embedding"), "lineage").where("embedding is not null")
+        descent = Descent(chosen.toArrow())
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, ranks, ids, dists = [], [], [], []
+                for row, candidates in descent.search(matrix(batch.column(1)), k, kappa):
+                    for rank, (d, name) in enumerate(candidates, 1):
+                        rows.append(row)
+                        ranks.append(rank)
+                        ids.append(name)
+                        dists.append(d)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ranks, pa.int32()), pa.array(ids, pa.string()), pa.array(dists, pa.float64())], names=["qid", "rk", "id", "dist"])
+
+        some = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+        return _results(queries, some.mapInArrow(run, f"qid {dict(queries.dtypes)['qid']}, rk int, id string, dist double"), prototypes, kappa)
+    return _by_joins(queries, prototypes, k, kappa)
+
+
+def _by_joins(queries: DataFrame, prototypes: DataFrame, k: int, kappa: float) -> DataFrame:
     ranks = sorted(r["rank"] for r in prototypes.select("rank").distinct().collect())
     best = Window.partitionBy("qid").orderBy("dist", "id")
     found, active = [], queries.select("qid", "embedding")

@@ -90,10 +90,19 @@ KNN = P + f""", pairs AS (
 ), knn AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id)::INTEGER AS rk FROM pairs) WHERE rk <= 5
 )"""
-LOO = P + f""", proto AS (SELECT * FROM p WHERE id % 5 <> 0), loo AS (
+def _loo(proto: str) -> str:
+    return P + f""", proto AS (SELECT * FROM p{proto}), loo AS (
   SELECT * FROM (SELECT a.id AS id, {dist('a.z', 'b.z', 'a.nz', 'b.nz')} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {dist('a.z', 'b.z', 'a.nz', 'b.nz')}, b.id) AS rk
   FROM proto a JOIN proto b ON a.id <> b.id) WHERE rk <= 5
 ), field AS (SELECT id, count(*) / sum(1 / greatest(dist, 1e-15::DOUBLE)) AS sigma FROM loo GROUP BY id)"""
+
+
+#: Leave-one-out neighbours of all points, and of the prototypes alone (where the other points are queries).
+LOO, LOO_SPLIT = _loo(""), _loo(" WHERE id % 5 <> 0")
+#: Up to 1000 quartets of all points, drawn as ``tree.hashed_quartets`` draws them.
+QUARTETS = """ord AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM p), n AS (SELECT count(*) AS n FROM p), draw AS (
+  SELECT DISTINCT list_sort(list_distinct(list_transform([0, 1, 2, 3], lambda k: ('0x' || substr(md5('42:' || s || ':' || k), 1, 8))::BIGINT % n))) AS q FROM range(0, 1000) t(s) CROSS JOIN n
+), quartets AS (SELECT a.id AS a, b.id AS b, c.id AS c, d.id AS d FROM draw JOIN ord a ON a.i = q[1] JOIN ord b ON b.i = q[2] JOIN ord c ON c.i = q[3] JOIN ord d ON d.i = q[4] WHERE len(q) = 4)"""
 LINEAGE = (
     "['d__D' || (label % 2), 'p__P' || (label % 4), 'c__C' || (label % 4), 'o__O' || (label % 8), 'f__F' || label, 'g__G' || label || '_' || (id % 3), 's__S' || label || '_' || (id % 9)]"
 )

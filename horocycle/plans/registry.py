@@ -196,10 +196,10 @@ def mobius_translate(spark, sf_dir):
 
 @query(f"WITH {X.LOO} SELECT round(quantile_cont(dist, 0.99), 6) AS threshold FROM loo WHERE rk = 1")
 def loo_nn_threshold(spark, sf_dir):
-    return novelty.novelty_threshold(X.prototypes_of(X.points(spark, sf_dir))).select(r6("threshold", "threshold"))
+    return novelty.novelty_threshold(X.points(spark, sf_dir)).select(r6("threshold", "threshold"))
 
 
-@query(f"WITH {X.LOO}, t AS (SELECT quantile_cont(dist, 0.99) AS threshold FROM loo WHERE rk = 1), q AS (SELECT a.id AS qid, {X.dist('a.z', 'b.z', 'a.nz', 'b.nz')} AS d, b.id FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0) SELECT qid, arg_min(id, (d, id)) AS nearest_id, round(min(d), 6) AS nearest_distance, min(d) > any_value(threshold) AS is_novel FROM q CROSS JOIN t GROUP BY qid")
+@query(f"WITH {X.LOO_SPLIT}, t AS (SELECT quantile_cont(dist, 0.99) AS threshold FROM loo WHERE rk = 1), q AS (SELECT a.id AS qid, {X.dist('a.z', 'b.z', 'a.nz', 'b.nz')} AS d, b.id FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0) SELECT qid, arg_min(id, (d, id)) AS nearest_id, round(min(d), 6) AS nearest_distance, min(d) > any_value(threshold) AS is_novel FROM q CROSS JOIN t GROUP BY qid")
 def novelty_flags(spark, sf_dir):
     p = X.points(spark, sf_dir)
     protos = X.prototypes_of(p)
@@ -209,12 +209,12 @@ def novelty_flags(spark, sf_dir):
 
 @query(f"WITH {X.LOO} SELECT id, round(sigma, 6) AS sigma FROM field")
 def sigma_field(spark, sf_dir):
-    return novelty.sigma_field(X.prototypes_of(X.points(spark, sf_dir))).select("id", r6("sigma", "sigma"))
+    return novelty.sigma_field(X.points(spark, sf_dir)).select("id", r6("sigma", "sigma"))
 
 
 @query(f"WITH {X.LOO} SELECT round(avg(sigma), 6) AS mean, round(quantile_disc(sigma, 0.5), 6) AS median, round(stddev_samp(sigma), 6) AS std, round(quantile_cont(sigma, 0.95), 6) AS q95, round(quantile_cont(sigma, 0.99), 6) AS q99, count(*) AS n FROM field")
 def field_stats(spark, sf_dir):
-    return novelty.field_stats(novelty.sigma_field(X.prototypes_of(X.points(spark, sf_dir))))
+    return novelty.field_stats(novelty.sigma_field(X.points(spark, sf_dir)))
 
 
 _DARK = X.LOO + ", dark AS (SELECT id, sigma, sigma > (SELECT quantile_cont(sigma, 0.95) FROM field) AS is_dark FROM field)"
@@ -222,16 +222,16 @@ _DARK = X.LOO + ", dark AS (SELECT id, sigma, sigma > (SELECT quantile_cont(sigm
 
 @query(f"WITH {_DARK} SELECT id, round(sigma, 6) AS sigma, is_dark FROM dark")
 def dark_map(spark, sf_dir):
-    return novelty.dark_map(novelty.sigma_field(X.prototypes_of(X.points(spark, sf_dir)))).select("id", r6("sigma", "sigma"), "is_dark")
+    return novelty.dark_map(novelty.sigma_field(X.points(spark, sf_dir))).select("id", r6("sigma", "sigma"), "is_dark")
 
 
 @query(f"WITH {_DARK} SELECT count(*) FILTER (is_dark) AS n_dark, count(*) FILTER (NOT is_dark) AS n_charted, round(100.0 * avg(is_dark::INTEGER), 6) AS pct_dark, round(avg(sigma) FILTER (is_dark), 6) AS mean_sigma_dark, round(avg(sigma) FILTER (NOT is_dark), 6) AS mean_sigma_charted, round(max(sigma) FILTER (is_dark), 6) AS max_sigma_dark, round(max(sigma) FILTER (NOT is_dark), 6) AS max_sigma_charted FROM dark")
 def dark_summary(spark, sf_dir):
-    return novelty.dark_summary(novelty.dark_map(novelty.sigma_field(X.prototypes_of(X.points(spark, sf_dir)))))
+    return novelty.dark_summary(novelty.dark_map(novelty.sigma_field(X.points(spark, sf_dir))))
 
 
 @query(
-    f"WITH {X.LOO}, l AS (SELECT quantile_disc(sigma, 0.5) AS e, quantile_cont(sigma, 0.95) AS t FROM field), q AS (SELECT * FROM (SELECT a.id AS qid, {X.dist('a.z', 'b.z', 'a.nz', 'b.nz')} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {X.dist('a.z', 'b.z', 'a.nz', 'b.nz')}, b.id) AS rk FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0) WHERE rk <= 5), "
+    f"WITH {X.LOO_SPLIT}, l AS (SELECT quantile_disc(sigma, 0.5) AS e, quantile_cont(sigma, 0.95) AS t FROM field), q AS (SELECT * FROM (SELECT a.id AS qid, {X.dist('a.z', 'b.z', 'a.nz', 'b.nz')} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {X.dist('a.z', 'b.z', 'a.nz', 'b.nz')}, b.id) AS rk FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0) WHERE rk <= 5), "
     "s AS (SELECT qid, min(d) AS d, count(*) / sum(1 / greatest(d, 1e-15::DOUBLE)) AS sigma FROM q GROUP BY qid) SELECT CASE WHEN d < e THEN 'redundant' WHEN sigma <= t THEN 'novel_certain' ELSE 'novel_uncertain' END AS category, count(*) AS n FROM s CROSS JOIN l GROUP BY 1"
 )
 def triage_counts(spark, sf_dir):
@@ -399,48 +399,57 @@ def kappa_rolling_std(spark, sf_dir):
 # ---- trees and projection
 
 
-def _taxa_points(spark, sf_dir, n: int) -> DataFrame:
-    return X.points(spark, sf_dir).where(F.col("id") < n).select("id", "embedding")
+def _ids_and_points(spark, sf_dir) -> DataFrame:
+    return X.points(spark, sf_dir).select("id", "embedding")
 
 
-_DM = f"dm AS (SELECT a.id AS i, b.id AS j, {X.dist('a.z', 'b.z', 'a.nz', 'b.nz')} AS dist FROM p a JOIN p b ON a.id < b.id AND b.id < 12)"
-_QUARTET = X.P + f""", {_DM}, q AS (
-  SELECT ab.i AS a, ab.j AS b, cd.i AS c, cd.j AS d, ab.dist + cd.dist AS s0, ac.dist + bd.dist AS s1, ad.dist + bc.dist AS s2
-  FROM dm ab JOIN dm cd ON ab.j < cd.i JOIN dm ac ON ac.i = ab.i AND ac.j = cd.i JOIN dm bd ON bd.i = ab.j AND bd.j = cd.j JOIN dm ad ON ad.i = ab.i AND ad.j = cd.j JOIN dm bc ON bc.i = ab.j AND bc.j = cd.i
-), qt AS (SELECT a, b, c, d, CASE WHEN s0 <= s1 AND s0 <= s2 THEN 0 WHEN s1 <= s2 THEN 1 ELSE 2 END AS topology, (list_sort([s0, s1, s2])[3] - list_sort([s0, s1, s2])[2]) / 2 AS delta FROM q)"""
+_DM = f"dm AS (SELECT {X.dist('a.z', 'b.z', 'a.nz', 'b.nz')} AS dist FROM p a JOIN p b ON a.id < b.id)"
+_SIX = ", ".join(f"{X.dist(f'{x}.z', f'{y}.z', f'{x}.nz', f'{y}.nz')} AS {x}{y}" for x, y in ("ab", "ac", "ad", "bc", "bd", "cd"))
+_QUARTET = X.P + f""", {X.QUARTETS}, six AS (
+  SELECT a.id AS a, b.id AS b, c.id AS c, d.id AS d, {_SIX} FROM quartets q JOIN p a ON a.id = q.a JOIN p b ON b.id = q.b JOIN p c ON c.id = q.c JOIN p d ON d.id = q.d
+), q3 AS (SELECT a, b, c, d, ab + cd AS s0, ac + bd AS s1, ad + bc AS s2 FROM six
+), qt AS (SELECT a, b, c, d, CASE WHEN s0 <= s1 AND s0 <= s2 THEN 0 WHEN s1 <= s2 THEN 1 ELSE 2 END AS topology, (list_sort([s0, s1, s2])[3] - list_sort([s0, s1, s2])[2]) / 2 AS delta FROM q3)"""
 
 
 @query(f"WITH {X.P}, {_DM} SELECT count(*) AS n_pairs, round(avg(dist), 6) AS mean_distance, round(stddev_samp(dist), 6) AS std_distance FROM dm")
 def distance_matrix_stats(spark, sf_dir):
-    d = knn.distance_matrix(_taxa_points(spark, sf_dir, 12))
+    d = knn.distance_matrix(_ids_and_points(spark, sf_dir))
     return d.agg(F.count("*").alias("n_pairs"), r6(F.avg("dist"), "mean_distance"), r6(F.stddev_samp("dist"), "std_distance"))
 
 
+def _drawn_quartets(spark, sf_dir) -> DataFrame:
+    p = _ids_and_points(spark, sf_dir)
+    return tree.quartets_of(tree.hashed_quartets(p.select("id"), tree.QUARTETS), p)
+
+
 @query(f"WITH {_QUARTET} SELECT a, b, c, d, topology, round(delta, 6) AS delta FROM qt")
 def quartet_delta_all(spark, sf_dir):
-    p = _taxa_points(spark, sf_dir, 12)
-    q = tree.with_distances(tree.all_quartets(p.select("id")), knn.distance_matrix(p))
-    return q.select("a", "b", "c", "d", F.col("quartet.topology").alias("topology"), r6("quartet.delta", "delta"))
+    """Quartets drawn from all points."""
+    return _drawn_quartets(spark, sf_dir).select("a", "b", "c", "d", F.col("quartet.topology").alias("topology"), r6("quartet.delta", "delta"))
 
 
 @query(f"WITH {_QUARTET} SELECT topology, count(*) AS n, round(avg(delta), 6) AS mean_delta, round(max(delta), 6) AS max_delta FROM qt GROUP BY topology")
 def quartet_topology_counts(spark, sf_dir):
-    p = _taxa_points(spark, sf_dir, 12)
-    q = tree.with_distances(tree.all_quartets(p.select("id")), knn.distance_matrix(p)).select("quartet.*")
+    q = _drawn_quartets(spark, sf_dir).select("quartet.*")
     return q.groupBy("topology").agg(F.count("*").alias("n"), r6(F.avg("delta"), "mean_delta"), r6(F.max("delta"), "max_delta"))
 
 
-def _forest(spark, sf_dir, most: int | None = None) -> DataFrame:
-    """One tree per label, of all its points or its first ``most``."""
+@query(f"WITH {_QUARTET} SELECT count(*) AS n_quartets, round(avg(delta), 6) AS mean_delta, round(max(delta), 6) AS max_delta FROM qt")
+def delta_hyperbolicity(spark, sf_dir):
+    d = tree.delta(_ids_and_points(spark, sf_dir))
+    return d.select("n_quartets", r6("mean_delta", "mean_delta"), r6("max_delta", "max_delta"))
+
+
+def _forest(spark, sf_dir) -> DataFrame:
+    """One tree per label, of all its points."""
     order = Window.partitionBy("label").orderBy("id")
     p = X.points(spark, sf_dir).withColumn("ordinal", F.row_number().over(order))
-    p = p if most is None else p.where(F.col("ordinal") <= most)
     return p.select(F.col("label").alias("tree_id"), "ordinal", F.concat(F.lit("t"), F.col("id")).alias("taxon_id"), "embedding")
 
 
-@query(f"WITH {X.P}, n AS (SELECT label, least(12, count(*)) AS n FROM p GROUP BY label) SELECT label AS tree_id, n AS n_leaves, n - 2 AS n_internal, 2 * n - 3 AS n_edges FROM n")
+@query(f"WITH {X.P}, n AS (SELECT label, count(*) AS n FROM p GROUP BY label) SELECT label AS tree_id, n AS n_leaves, n - 2 AS n_internal, 2 * n - 3 AS n_edges FROM n")
 def nj_tree_statistics(spark, sf_dir):
-    pts = _forest(spark, sf_dir, 12)
+    pts = _forest(spark, sf_dir)
     return tree.statistics(tree.nodes(pts), tree.edges(pts)).select("tree_id", "n_leaves", "n_internal", "n_edges")
 
 
@@ -451,11 +460,12 @@ def nj_edges(spark, sf_dir):
 
 @query()
 def nj_quartet_consistency(spark, sf_dir):
-    p = _taxa_points(spark, sf_dir, 12)
-    pts = p.select(F.lit(0).alias("tree_id"), F.col("id").alias("ordinal"), F.format_string("t%03d", "id").alias("taxon_id"), "embedding")
+    """One tree of all points, held against quartets drawn from all of them."""
+    p = _ids_and_points(spark, sf_dir).select(F.format_string("t%09d", "id").alias("id"), "embedding")
+    pts = p.select(F.lit(0).alias("tree_id"), F.col("id").alias("ordinal"), F.col("id").alias("taxon_id"), "embedding")
+    quartets = tree.hashed_quartets(p.select("id"), tree.QUARTETS)
     on_tree = tree.patristic(tree.nodes(pts), tree.edges(pts)).select(F.col("a").alias("i"), F.col("b").alias("j"), "dist")
-    named = p.select(F.format_string("t%03d", "id").alias("id"), "embedding")
-    return tree.consistency(tree.all_quartets(named.select("id")), knn.distance_matrix(named), on_tree)
+    return tree.consistency(tree.quartets_of(quartets, p), on_tree)
 
 
 @query(
@@ -524,7 +534,7 @@ def kmer_embeddings(spark, sf_dir):
 @query()
 def greedy_tokens(spark, sf_dir):
     v = S.Vocabulary(["[PAD]", "[UNK]", "A", "C", "G", "T", "AC", "GT", "ACG", "TTT", "ACGT"])
-    t = S.tokens(X.dna(spark, sf_dir), v, 64)
+    t = S.tokens(X.dna(spark, sf_dir), v)
     return t.select("sequence_id", F.array_join("tokens", " ").alias("tokens"))
 
 

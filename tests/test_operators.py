@@ -52,6 +52,20 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r.id for r in knn.geodesic_knn(q, p, 3).orderBy("rk").collect()] == [0, 1, 2]
 
 
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_descent_equals_the_joins(spark, k):
+    rng = np.random.default_rng(6)
+    z, rows = ball(60, seed=9), []
+    for i in range(60):
+        lineage = [f"d{i % 2}", f"p{i % 6}", f"s{i}"]
+        rank = 0 if i < 2 else 1 if i < 8 else 2
+        rows.append((lineage[rank] if rank else f"d{i}", rank, z[i].tolist(), lineage[: rank + 1] if i % 7 else [f"d{i % 2}", "p9", f"s{i}"][: rank + 1]))
+    protos = spark.createDataFrame(rows, "id string, rank int, embedding array<double>, lineage array<string>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(0, 0.2, (25, 8)))], "qid long, embedding array<double>")
+    flat = lambda df: sorted((r.qid, c.rk, c.taxon_id, c.distance) for r in df.collect() for c in r.candidates)
+    assert flat(placement.place_hierarchical(q, protos, k)) == flat(placement._by_joins(q, protos, k, 1.25))
+
+
 def test_placement_without_prototypes(spark, prototypes):
     q = prototypes.select(F.col("id").alias("qid"), "embedding").limit(3)
     none = spark.createDataFrame([], "id string, rank int, embedding array<double>, lineage array<string>")
@@ -134,7 +148,15 @@ def test_chimeras():
     split = np.zeros((10, 4))
     split[:5, 0], split[5:, 1] = 0.5, 0.5
     s = chimera.score(split)
-    assert s["is_chimera"] and s["breakpoint_idx"] == 5 and s["balance"] == 1.0
+    assert s["is_chimera"] and s["breakpoint_idx"] == 4 and s["balance"] == 1.0
+    uneven = np.zeros((10, 4)) + 1e-2 * np.random.default_rng(3).standard_normal((10, 4))
+    uneven[:8, 0] += 0.5
+    uneven[8:, 1] += 0.5
+    a, b = uneven[:8], uneven[8:]
+    within = (((a - a.mean(0)) ** 2).sum(1).mean() + ((b - b.mean(0)) ** 2).sum(1).mean()) / 2
+    gap = np.linalg.norm(a.mean(0) - b.mean(0))
+    got = chimera.two_means(uneven)
+    assert got[0] == pytest.approx(gap**2 / 4 / (within + gap**2 / 4)) and got[1:] == (pytest.approx(gap), 0.25, 7)
     assert chimera.score(split[:1])["confidence"] == 1.0 and chimera.two_means(split[:3]) == (0.0, 0.0, 0.0, None)
 
 
