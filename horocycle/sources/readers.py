@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -122,17 +123,40 @@ def read_prototypes_json(spark: SparkSession, path: str, kappa: float = KAPPA) -
     return spark.read.schema(schema).json(path).withColumn("embedding", G.clamp_to_ball(F.col("embedding"), kappa))
 
 
-def read_datum(path: str) -> dict:
-    """The coordinate datum: kappa must be 1.25, the plane two rows; gives plane, grand mean, anchor and centroids."""
-    with open(path) as f:
-        data = json.load(f)
-    flat = json.dumps(data)
-    kappa = data.get("kappa", data.get("curvature", {}).get("kappa") if isinstance(data.get("curvature"), dict) else None)
-    if kappa is not None and abs(float(kappa) - KAPPA) > 1e-12:
+#: The anchor whose direction is the zero of angles.
+ANCHOR = "E_coli_K12_MG1655"
+
+
+@dataclass(frozen=True)
+class Datum:
+    """A coordinate datum: the plane of angles, the grand mean in the tangent space, the anchor's raw angle and the centroids' (r, theta)."""
+
+    kappa: float
+    plane: list[list[float]]
+    grand: list[float]
+    anchor: float
+    centroids: dict[str, tuple[float, float]]
+
+    def coordinates(self, points: DataFrame) -> DataFrame:
+        """``id, r, theta, sigma_r, sigma_theta`` of ``points(id, embedding)``; rows of another dimension or outside the ball go."""
+        z = F.col("embedding")
+        kept = points.where(G.valid_v1(z, len(self.grand)))
+        found = kept.select("id", G.radial_v1(z).alias("r"), G.angular_v1(z, self.plane, self.grand, self.anchor).alias("theta"))
+        u = found.withColumn("u", G.uncertainty_v1(F.col("r"), F.col("theta"), list(self.centroids.values())))
+        return u.select("id", "r", "theta", F.col("u.sigma_r").alias("sigma_r"), F.col("u.sigma_theta").alias("sigma_theta"))
+
+
+def read_datum(spark: SparkSession, path: str) -> Datum:
+    """The coordinate datum of a JSON file; ValueError unless kappa is 1.25, the plane has two rows and the anchor is there."""
+    data = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    kappa = float(data.get("kappa", KAPPA))
+    if kappa != KAPPA:
         raise ValueError("the datum is not of curvature 1.25")
-    plane = data.get("P") or data.get("projection_matrix")
-    if plane is not None and len(plane) != 2:
-        raise ValueError("the datum's plane must have two rows")
-    if "coli" not in flat:
+    plane, grand = data["projection_matrix_P"], data["tangent_space_grand_centroid"]
+    if len(plane) != 2 or any(len(row) != len(grand) for row in plane):
+        raise ValueError("the datum's plane must have two rows of the grand mean's length")
+    anchor = data["reference_anchors"].get(ANCHOR)
+    if anchor is None:
         raise ValueError("the datum has no anchor")
-    return data
+    centroids = {name: (float(x["r"]), float(x["theta"])) for name, x in data.get("domain_centroids", {}).items()}
+    return Datum(kappa, plane, grand, float(anchor.get("theta_raw", 0.0)), centroids)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horocycle.functions import geometry as G
+from horocycle.functions.constants import KAPPA
 
 
 def finite(df: DataFrame) -> DataFrame:
@@ -40,6 +41,37 @@ def placement_rows(placements: DataFrame) -> DataFrame:
     )
 
 
+def chimera_rows(scored: DataFrame, kappa: float = KAPPA) -> DataFrame:
+    """The fourteen columns of a chimera report from scores with ``length``."""
+    r = lambda c, n: F.round(c, n).alias(c)
+    return scored.select(
+        "sequence_id", "length", F.round("score", 6).alias("chimera_score"), "is_chimera", r("confidence", 4), r("variance", 6), r("bimodality", 4), r("separation", 4), r("balance", 4),
+        F.col("breakpoint_idx").alias("breakpoint"), r("atlas_r", 6), r("atlas_theta", 6), F.round(F.degrees("atlas_theta"), 2).alias("atlas_theta_deg"), F.lit(kappa).alias("kappa"),
+    )
+
+
+def triage_rows(triaged: DataFrame) -> DataFrame:
+    """The seven columns of a triage report."""
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return triaged.select(
+        F.col("qid").alias("sequence_id"), "category", r("nearest_distance", "d_geo"), r("sigma", "sigma_local"), F.col("nearest_id").alias("nearest_taxon_id"), r("epsilon", "epsilon"), r("sigma_threshold", "sigma_threshold")
+    )
+
+
+def novelty_rows(found: DataFrame) -> DataFrame:
+    """The six columns of a novelty report; the score is the distance of the nearest prototype."""
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return found.select(
+        F.col("qid").alias("sequence_id"), r("nearest_distance", "novelty_score"), "is_novel", r("threshold", "threshold"), F.col("nearest_id").alias("nearest_taxon_id"), r("nearest_distance", "nearest_distance")
+    )
+
+
+def write_dark_map(dark: DataFrame, summary: DataFrame, path: str) -> None:
+    """The dark map as JSON lines in ``path``/taxa and its summary in ``path``/summary."""
+    write_jsonl(dark.select(F.col("id").alias("taxon_id"), "sigma", "is_dark"), f"{path}/taxa")
+    write_jsonl(summary, f"{path}/summary")
+
+
 def jplace_rows(placements: DataFrame) -> DataFrame:
     """``n, p`` per query: placements as [edge, likelihood, weight, distal, pendant]; edges are numbers from a fixed checksum."""
     p = F.transform("candidates", lambda c, i: F.array(F.pmod(F.crc32(c["taxon_id"]), F.lit(100000)).cast("double"), -c["distance"], F.when(i == 0, F.col("confidence")).otherwise(0.0), F.lit(0.0), c["distance"]))

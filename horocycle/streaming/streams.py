@@ -13,9 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from horocycle.functions.constants import KAPPA, KAPPA_FUNCTIONAL, KAPPA_PHYLOGENETIC, TOP_K
 from horocycle.operators import calibration as C
-from horocycle.operators import hplg
+from horocycle.operators import hplg, placement
 from horocycle.operators.chimera import chimera_scores
 from horocycle.operators.knn import geodesic_knn
+from horocycle.sources import writers
 
 
 def place_stream(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kappa: float = KAPPA) -> DataFrame:
@@ -23,6 +24,19 @@ def place_stream(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kapp
     return geodesic_knn(queries, prototypes, k, kappa)
 
 
+def placement_sink(path: str, prototypes: DataFrame, scores: DataFrame, k: int = TOP_K, kappa: float = KAPPA):
+    """A foreachBatch function that places the ``(qid, embedding)`` of a batch and writes report rows with scores and zones as TSV.
+
+    A batch's folder carries its number and is written anew if the batch comes again, so a restarted stream leaves no row twice.
+    """
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        placed = placement.calibrated(placement.place_flat(batch, prototypes, k, kappa), scores)
+        writers.write_tsv(writers.placement_rows(placed), f"{path}/epoch={epoch}")
+
+    return each
+
+
 def chimera_sink(path: str, kappa: float = KAPPA):
     """A foreachBatch function that scores the sequences of a batch of windows (whole sequences per batch)."""
 
