@@ -225,7 +225,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, m
     rows = shared.written(_contested(_keys(_once(docs, firsts, min_chars), threshold), heavy), "line-keys")
     wanted = rows.select("h").distinct().join(firsts.select("h", "first"), "h")
     wanted = shared.written(wanted.select("h", "first.doc_id", "first.pos", "first.t"), "line-places")
-    lines = _occurrences(docs, min_chars).select("doc_id", "t", "pos", "line")
+    lines = _occurrences(shared.possible(docs, wanted, ["doc_id", "t"]), min_chars).select("doc_id", "t", "pos", "line")
     texts = shared.looked_up(lines, wanted, ["doc_id", "t", "pos"], "inner").select("h", F.struct("doc_id", "pos", "t").alias("first"), "line")
     texts = texts.where(F.xxhash64("line") == F.col("h"))
     texts = shared.written(texts.dropDuplicates(["h"]).select("h", "line", "first", F.length("line").alias("n"), _letters(F.col("line")).alias("letters")), "line-texts")

@@ -104,6 +104,21 @@ def is_small(table: DataFrame) -> bool:
     return (table.agg(F.sum(row_bytes(table.schema))).first()[0] or 0) <= BROADCAST_BYTES
 
 
+def _marked(rows: DataFrame, table: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """(``rows`` with the bits at their keys, whether these allow for a partner in ``table``)."""
+    words = min(SIEVE_WORDS, 1 << max(10, (table.count() // 4).bit_length()))
+    place = F.pmod(F.shiftrightunsigned("_sieve_hash", 6), F.lit(words))
+    bits = table.select(F.xxhash64(*keys).alias("_sieve_hash")).groupBy(place.alias("_sieve_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_sieve_hash & 63 as int)))").alias("_sieve_bits"))
+    marked = rows.withColumn("_sieve_hash", F.xxhash64(*keys)).join(F.broadcast(bits), place == F.col("_sieve_word"), "left")
+    return marked, F.expr("coalesce(shiftrightunsigned(_sieve_bits, cast(_sieve_hash & 63 as int)) & 1, 0L) = 1")
+
+
+def possible(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those that have no partner in ``table`` on ``keys``; nothing is shuffled."""
+    marked, maybe = _marked(rows, table, keys)
+    return marked.where(maybe).drop("_sieve_hash", "_sieve_word", "_sieve_bits")
+
+
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join ``rows``, which may be wide, with the written ``table`` on ``keys``, which both have and which may be null.
 
@@ -117,14 +132,7 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> D
     tidy = lambda df: df.drop(*inner.values())
     if is_small(table):
         return tidy(rows.join(F.broadcast(other), same, how))
-    n = table.count()
-    words = min(SIEVE_WORDS, 1 << max(10, (n // 4).bit_length()))
-    place = lambda h: F.pmod(F.shiftrightunsigned(h, 6), F.lit(words))
-    hashed = table.select(F.xxhash64(*keys).alias("_sieve_hash"))
-    bits = hashed.groupBy(place(F.col("_sieve_hash")).alias("_sieve_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_sieve_hash & 63 as int)))").alias("_sieve_bits"))
-    marked = rows.withColumn("_sieve_hash", F.xxhash64(*keys))
-    marked = marked.join(F.broadcast(bits), place(F.col("_sieve_hash")) == F.col("_sieve_word"), "left")
-    maybe = F.expr("coalesce(shiftrightunsigned(_sieve_bits, cast(_sieve_hash & 63 as int)) & 1, 0L) = 1")
+    marked, maybe = _marked(rows, table, keys)
     met = tidy(marked.where(maybe).drop("_sieve_hash", "_sieve_word", "_sieve_bits").join(other.hint("shuffle_merge"), same, how))
     if how in ("inner", "left_semi"):
         return met
