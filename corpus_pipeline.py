@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The rows of the last stage; the tables of all stages before it are deleted when its pieces are written."""
+    with shared.scratch(spark) as held:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            with shared.scratch(spark) as own:
+                docs = own.kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        name, stage = STAGES[-1]
+        return held.kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
