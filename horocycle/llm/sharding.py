@@ -60,7 +60,7 @@ def shard(docs: DataFrame, limit: int = 256 << 20) -> DataFrame:
         with shared.scratch(docs.sparkSession) as held:
             fine = shared.written(prefixed.groupBy("p").agg(F.sum("n_bytes").alias("bytes")), "shard-bytes")
             found = held.kept(_directory(fine, low, high, limit), "directory")
-        named = shared.looked_up(prefixed, found, ["p"], "inner").drop("p")
+        named = prefixed.join(F.broadcast(found) if shared.is_small(found) else found.hint("shuffle_merge"), "p").drop("p")
         done.append(named.where(F.col("depth") <= high))
         if not found.where(F.col("depth") > high).limit(1).count():
             break

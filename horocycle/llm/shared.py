@@ -104,38 +104,41 @@ def is_small(table: DataFrame) -> bool:
     return (table.agg(F.sum(row_bytes(table.schema))).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def _marked(rows: DataFrame, table: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
-    """(``rows`` with the bits at their keys, whether these allow for a partner in ``table``)."""
+def _bits(table: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """(the bit table of the keys of ``table``, the place in it of a row's ``_sieve_hash``)."""
     words = min(SIEVE_WORDS, 1 << max(10, (table.count() // 4).bit_length()))
     place = F.pmod(F.shiftrightunsigned("_sieve_hash", 6), F.lit(words))
-    bits = table.select(F.xxhash64(*keys).alias("_sieve_hash")).groupBy(place.alias("_sieve_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_sieve_hash & 63 as int)))").alias("_sieve_bits"))
-    marked = rows.withColumn("_sieve_hash", F.xxhash64(*keys)).join(F.broadcast(bits), place == F.col("_sieve_word"), "left")
-    return marked, F.expr("coalesce(shiftrightunsigned(_sieve_bits, cast(_sieve_hash & 63 as int)) & 1, 0L) = 1")
+    hashed = table.select(F.xxhash64(*keys).alias("_sieve_hash"))
+    return hashed.groupBy(place.alias("_sieve_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_sieve_hash & 63 as int)))").alias("_sieve_bits")), place
 
 
 def possible(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` without most of those that have no partner in ``table`` on ``keys``; nothing is shuffled."""
-    marked, maybe = _marked(rows, table, keys)
-    return marked.where(maybe).drop("_sieve_hash", "_sieve_word", "_sieve_bits")
+    bits, place = _bits(table, keys)
+    set_there = F.expr("shiftrightunsigned(_sieve_bits, cast(_sieve_hash & 63 as int)) & 1 = 1")
+    return rows.withColumn("_sieve_hash", F.xxhash64(*keys)).join(F.broadcast(bits), (place == F.col("_sieve_word")) & set_there).drop("_sieve_hash", "_sieve_word", "_sieve_bits")
 
 
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join ``rows``, which may be wide, with the written ``table`` on ``keys``, which both have and which may be null.
 
-    ``how`` is inner, left, left_semi or left_anti; the keys come out once.  A small table is broadcast.  For a larger one a table of bits
-    of its key hashes, bounded in size, is broadcast instead: rows that it shows to be without a partner stay where they are
-    (or go), and only the others are shuffled and joined exactly.
+    ``how`` is inner, left, left_semi or left_anti; the keys come out once.  A table of bits of the key hashes, bounded in size, is broadcast:
+    rows that it shows to be without a partner stay where they are (or go), and only the others are joined exactly.  Where all
+    rows come out, a table that was measured to be small is broadcast itself instead.
     """
     inner = {k: f"_sieve_key_{i}" for i, k in enumerate(keys)}
     other = table.withColumnsRenamed(inner)
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(inner[k])) for k in keys))
     tidy = lambda df: df.drop(*inner.values())
-    if is_small(table):
+    small = is_small(table)
+    if how in ("inner", "left_semi"):
+        return tidy(possible(rows, table, keys).join(F.broadcast(other) if small else other.hint("shuffle_merge"), same, how))
+    if small:
         return tidy(rows.join(F.broadcast(other), same, how))
-    marked, maybe = _marked(rows, table, keys)
+    bits, place = _bits(table, keys)
+    marked = rows.withColumn("_sieve_hash", F.xxhash64(*keys)).join(F.broadcast(bits), place == F.col("_sieve_word"), "left")
+    maybe = F.expr("coalesce(shiftrightunsigned(_sieve_bits, cast(_sieve_hash & 63 as int)) & 1, 0L) = 1")
     met = tidy(marked.where(maybe).drop("_sieve_hash", "_sieve_word", "_sieve_bits").join(other.hint("shuffle_merge"), same, how))
-    if how in ("inner", "left_semi"):
-        return met
     rest = marked.where(~maybe).drop("_sieve_hash", "_sieve_word", "_sieve_bits")
     for field in table.schema:
         if how == "left" and field.name not in keys:
