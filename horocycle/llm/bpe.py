@@ -22,7 +22,7 @@ from horocycle.llm import textkit
 
 _OTHER, _LETTER, _NUMBER, _BLANK, _SPACE = 0, 1, 2, 3, 4  # _BLANK: white space but U+0020
 #: Distinct pre-tokens and their symbols that a worker remembers; beyond these it starts anew.
-CACHE_WORDS, CACHE_IDS = 1 << 20, 1 << 22
+CACHE_WORDS, CACHE_IDS = 1 << 18, 1 << 20
 #: Code points that are processed at once; a longer text forms a block of its own.
 BLOCK_CHARS = 1 << 19
 

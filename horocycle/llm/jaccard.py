@@ -65,7 +65,7 @@ def _name(tokens: np.ndarray, twins: frozenset[int]) -> int:
 class _Seen:
     """Digests met before in this task; forgets all when full, which costs repeated rows but no result."""
 
-    def __init__(self, most: int = 1 << 20) -> None:
+    def __init__(self, most: int = 1 << 18) -> None:
         self.most, self.keys = most, set()
 
     def first(self, key: object) -> bool:
