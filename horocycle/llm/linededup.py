@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from horocycle.llm import shared
-from horocycle.llm.quality import let, normal_line
+from horocycle.llm.quality import DEPLETED_PERCENT, let, normal_line, words_of
 
 THRESHOLD, MIN_CHARS = 2, 40
 _LETTERS = "etaonisrhdlucmfw"
@@ -283,11 +283,15 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     return out.select(*(_own(c) for c in docs.columns if c not in added), *(x.alias(c) for c, x in added.items()))
 
 
-def deduped(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with its own columns, without the removed lines; ``n_chars`` follows.  Rows left without a word go.
+def deduped(docs: DataFrame, depleted: int = DEPLETED_PERCENT) -> DataFrame:
+    """The rows of ``docs`` with its own columns, without the removed lines; ``n_chars`` follows.
 
-    Columns of any name pass unchanged; see ``line_dedup`` for nulls and repeated rows.
+    A row goes if lines were removed and no word is left, or if more than ``depleted`` percent of its words were in them: what
+    stays of a near copy is a few changed lines, no document.  Columns of any name pass unchanged; see ``line_dedup`` for
+    nulls and repeated rows.
     """
-    out = _cut(docs, THRESHOLD, MIN_CHARS).where(F.col("removed").isNull() | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
+    out = _cut(docs, THRESHOLD, MIN_CHARS)
+    had, left = F.size(words_of(F.col("text"))), F.size(words_of(F.col("new_text")))
+    out = out.where(F.col("removed").isNull() | ((left > 0) & (100 * (had - left) <= depleted * had)))
     size = F.length("new_text").cast("long")
     return out.select(*(F.col("new_text").alias("text") if c == "text" else size.alias(c) if c == "n_chars" else _own(c) for c in docs.columns))

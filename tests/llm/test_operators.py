@@ -313,6 +313,15 @@ def test_rows_of_one_or_no_id_lose_only_their_own_lines(spark):
     assert len({r.removed for r in out if (r.doc_id, r.text) == both[0]}) == 1
 
 
+def test_documents_left_with_few_words_go(spark):
+    line = lambda x: " ".join(f"{x}{i}{x * 2}" for i in range(12))
+    whole = "\n".join(line(x) for x in "abcdefgh")
+    rows = [(1, whole), (2, f"{whole}\n{line('near')}"), (3, f"{whole}\n{line('p')}\n{line('q')}"), (4, whole), (5, ""), (6, None)]
+    out = linededup.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # Row 2 keeps 12 of 108 words, row 3 keeps 24 of 120, which is not more than 80 % lost.
+    assert sorted((r.doc_id, r.text or "") for r in out) == [(1, whole), (3, f"{line('p')}\n{line('q')}"), (5, ""), (6, "")]
+
+
 def test_line_dedup_keeps_columns_and_rows(docs, empty):
     out = linededup.deduped(docs)
     assert out.columns == docs.columns and linededup.line_dedup(docs).count() == docs.count() and rows_of(linededup.line_dedup(empty)) == []
