@@ -10,10 +10,12 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,8 @@ BROADCAST_BYTES = 4 << 20
 SIEVE_WORDS = 1 << 17
 #: Bytes of an Arrow batch where the session names none: operators work on blocks of at most a megabyte anyway.
 BATCH_BYTES = 4 << 20
+#: Links that a task contracts at once: 1 MB of numbers.
+BLOCK_LINKS = 1 << 16
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OPEN = threading.local()
 
@@ -158,12 +162,44 @@ def joined_skewed(rows: DataFrame, table: DataFrame, key: str, often: Column, to
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Each node of the links of one block with the smallest node it reaches by them, itself left out."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        live = low != high
+        if not live.any():
+            break
+        np.minimum.at(root, high[live], low[live])
+        while (root[root] != root).any():
+            root = root[root]
+    moved = root != np.arange(len(ids))
+    return pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[root[moved]], pa.int64())], names=["u", "v"])
+
+
+def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each block of BLOCK_LINKS as stars; blocks of any size keep what is connected."""
+    us, vs, held = [], [], 0
+    for batch in batches:
+        us.append(batch.column(0).to_numpy())
+        vs.append(batch.column(1).to_numpy())
+        held += batch.num_rows
+        if held >= BLOCK_LINKS:
+            yield _stars(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [], [], 0
+    if held:
+        yield _stars(np.concatenate(us), np.concatenate(vs))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(u long, v long)`` as ``(node, comp)``, comp being the smallest node.
 
-    Alternates the large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
-    Beyond") until the edges no longer change; each round is written to shared storage.  Only nodes with a link to
-    another node come out.  No step holds the neighbours of a node in one row, so hubs cost only a split join.
+    Links are contracted to stars block by block, without a shuffle; where several blocks are left, this alternates with the
+    large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond") until all links together
+    are stars, which one count per node tells.  Each round is written to shared storage.  Only nodes with a link to another
+    node come out.  No step holds the neighbours of a node in one row, so hubs cost only a split join.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -178,18 +214,15 @@ def components(links: DataFrame) -> DataFrame:
             )
         return out.where("u > v").distinct()
 
-    def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    edges = written(
-        links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges"
-    )
-    seen = mark(edges)
-    while seen[0]:
-        edges = written(star(star(edges, True), False), "edges")
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
+    def contracted(edges: DataFrame, n: int) -> DataFrame:
+        return written(edges.coalesce(n // BLOCK_LINKS + 1).mapInArrow(_contract, "u long, v long"), "edges")
+
+    def are_stars(edges: DataFrame) -> bool:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+        return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
+
+    edges = contracted(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"), links.count())
+    while not are_stars(edges):
+        edges = contracted(star(star(edges, True), False), edges.count())
     comp = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct())

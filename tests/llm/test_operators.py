@@ -106,6 +106,21 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130)) and len(got) == 71
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_components_over_many_blocks(spark, monkeypatch, block):
+    rng = np.random.default_rng(block)
+    links = [tuple(map(int, x)) for x in rng.integers(0, 300, (260, 2))] + [(1000 + i, 1001 + i) for i in rng.permutation(60).tolist()]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    want = {x: c for x, c in root.items() if any(x in link and link[0] != link[1] for link in links)}
+    # Tasks would not see a value set here; blocks are cut where the function is made.
+    monkeypatch.setattr(shared, "BLOCK_LINKS", block)
+    assert sum(len(x) for x in shared._contract(pa.RecordBatch.from_pylist([{"u": u, "v": v}]) for u, v in links)) >= len(want) - len(set(want.values()))
+    assert dict(rows_of(shared.components(spark.createDataFrame(links, "u long, v long").repartition(8)))) == want
+
+
 # ---- 2
 
 
