@@ -1,19 +1,24 @@
 """Exact geodesic nearest neighbours.
 
-Up to a checked bound the prototypes are one matrix on every worker: queries never move, and the k nearest of a batch of them come from one
-matrix product.  More prototypes stay on the executors: they and the queries are dealt to blocks of bounded size, every pair of blocks
-is one task's matrix product, and the partial top-k lists are merged per query.  Ties go to the smaller id.
+Up to a checked bound the prototypes are one matrix on every worker, and the queries are dealt to as many tasks as the number of pairs asks
+for.  More prototypes stay on the executors: they and the queries are dealt to blocks of bounded size, every pair of blocks is one task's
+work, and the partial top-k lists are merged per query.  Ties go to the smaller id.
+
+Within a block a matrix product of single precision gives a lower bound of each distance; pairs whose bound is within the k-th exact
+distance found so far are computed in double precision, so that no neighbour is missed.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from horocycle.functions import geometry as G
 from horocycle.functions import numeric as N
@@ -21,8 +26,12 @@ from horocycle.functions.constants import KAPPA, TOP_K
 
 #: Doubles in one block of prototypes: 64 MB on a worker.
 BLOCK_VALUES = 1 << 23
-#: Doubles of the distances that are held at once, and queries of a block where these are dealt, too.
-_MATRIX_VALUES, QUERY_BLOCK = 1 << 22, 1 << 16
+#: Queries of a block where these are dealt, too, and pairs of a task.
+QUERY_BLOCK, TASK_PAIRS = 1 << 16, 1 << 28
+#: Rows and columns of the distances that are held at once, and exact ones that are computed at once.
+_ROWS, _COLUMNS, _EXACT = 1024, 8192, 1 << 15
+#: Up to so many points all distances are exact from the start.
+_FEW = 512
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -32,11 +41,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest(q: np.ndarray, points: np.ndarray, k: int, kappa: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(places, distances) of the k nearest ``points`` of each row of ``q``, nearest first, ties by place; infinite where there are fewer.
-
-    ``own`` names a point that is not a neighbour of the row (-1: none).
-    """
+def _every(q: np.ndarray, points: np.ndarray, k: int, kappa: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest`` from all distances; rows and points of any norm."""
     n = len(points)
     take = min(k + 8, n)
     norms, nq = (points * points).sum(1), (q * q).sum(1)
@@ -61,6 +67,100 @@ def nearest(q: np.ndarray, points: np.ndarray, k: int, kappa: float, own: np.nda
     return place, dist
 
 
+class Screen:
+    """Lower bounds of ``squared distance / (1 - kappa |p|^2)`` by one product in single precision.
+
+    The product's terms for q and p add up to at most 2 (|q|^2 + |p|^2) / (1 - kappa |p|^2) in size; its rounding is within ``slack``
+    of that, which is subtracted.
+    """
+
+    def __init__(self, points: np.ndarray, kappa: float) -> None:
+        self.norms = (points * points).sum(1)
+        self.room = 1 - kappa * self.norms
+        self.least = float(self.room.min())
+        with np.errstate(divide="ignore", over="ignore"):
+            w = 1 / self.room
+        self.slack = 1 - 4 * (points.shape[1] + 16) * 2.0**-24
+        self.right = np.empty((points.shape[1] + 2, len(points)), np.float32)
+        for lo in range(0, len(points), _COLUMNS):
+            at = slice(lo, lo + _COLUMNS)
+            self.right[:-2, at] = (-2 * w[at, None] * points[at]).T
+        self.right[-2], self.right[-1] = w * self.norms * self.slack, w * self.slack
+
+    def left(self, q: np.ndarray, nq: np.ndarray) -> np.ndarray:
+        return np.concatenate([q, np.ones((len(q), 1)), nq[:, None]], 1).astype(np.float32)
+
+
+def _exactly(q: np.ndarray, nq: np.ndarray, points: np.ndarray, screen: Screen, row: np.ndarray, place: np.ndarray, kappa: float) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, what the screen bounds) of pairs."""
+    sq = np.empty(len(row))
+    for lo in range(0, len(row), _EXACT):
+        at = slice(lo, lo + _EXACT)
+        sq[at] = ((q[row[at]] - points[place[at]]) ** 2).sum(-1)
+    return N.distance_from(sq, nq[row], screen.norms[place], kappa), np.maximum(sq, 1e-15) / screen.room[place]
+
+
+def _screened(q: np.ndarray, points: np.ndarray, screen: Screen, k: int, kappa: float, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    n, many = len(points), len(q)
+    k = min(k, n)
+    nq = (q * q).sum(1)
+    left = screen.left(q, nq)
+    place, dist, bound = np.full((many, k), n), np.full((many, k), np.inf), np.full((many, k), np.inf)
+    limit = np.full(many, np.inf, np.float32)
+
+    def limits(worst: np.ndarray) -> np.ndarray:
+        return np.nextafter((worst * (1 + 1e-9)).astype(np.float32), np.float32(np.inf))
+
+    for lo in range(0, n, _COLUMNS):
+        low = left @ screen.right[:, lo : lo + _COLUMNS]
+        width = low.shape[1]
+        if not lo and width > k + 8:  # a first limit, from a few of the first points
+            some = np.argpartition(low, k + 4, axis=1)[:, : k + 5]
+            row = np.repeat(np.arange(many), k + 5)
+            _, first = _exactly(q, nq, points, screen, row, some.ravel(), kappa)
+            if own is not None:
+                first[some.ravel() == own[row]] = np.inf
+            limit = limits(np.sort(first.reshape(many, -1), axis=1)[:, k - 1])
+        hit = np.flatnonzero(low <= limit[:, None])
+        row, at = hit // width, hit % width + lo
+        if own is not None:
+            other = own[row] != at
+            row, at = row[other], at[other]
+        if not len(row):
+            continue
+        d, b = _exactly(q, nq, points, screen, row, at, kappa)
+        seen = np.unique(row)
+        row = np.concatenate([row, np.repeat(seen, k)])
+        at, d, b = (np.concatenate([new, old[seen].ravel()]) for new, old in ((at, place), (d, dist), (b, bound)))
+        order = np.lexsort((at, d, row))
+        row, at, d, b = row[order], at[order], d[order], b[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = rank < k
+        row, rank = row[kept], rank[kept]
+        place[row, rank], dist[row, rank], bound[row, rank] = at[kept], d[kept], b[kept]
+        limit = np.minimum(limit, limits(bound.max(1)))
+    return np.minimum(place, n - 1), dist
+
+
+def nearest(q: np.ndarray, points: np.ndarray, k: int, kappa: float, own: np.ndarray | None = None, screen: Screen | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the k nearest ``points`` of each row of ``q``, nearest first, ties by place; infinite where there are fewer.
+
+    ``own`` names a point that is not a neighbour of the row (-1: none); ``screen`` is that of the points, if it is there already.
+    """
+    if len(points) <= _FEW:
+        return _every(q, points, k, kappa, own)
+    screen = screen or Screen(points, kappa)
+    place, dist = np.zeros((len(q), min(k, len(points))), np.int64), np.zeros((len(q), min(k, len(points))))
+    # The formula's least room is out of the screen's reach: all distances where both points are next to the rim.
+    rim = ~((1 - kappa * (q * q).sum(1)) * screen.least >= 2e-8) | (screen.least <= 0)
+    for rows, how in ((np.flatnonzero(~rim), _ROWS), (np.flatnonzero(rim), max(1, (_ROWS * _COLUMNS // 8) // len(points)))):
+        for lo in range(0, len(rows), how):
+            at = rows[lo : lo + how]
+            mine = None if own is None else own[at]
+            place[at], dist[at] = _every(q[at], points, k, kappa, mine) if rim[at[0]] else _screened(q[at], points, screen, k, kappa, mine)
+    return place, dist
+
+
 class Block:
     """Prototypes in order of their ids."""
 
@@ -69,61 +169,92 @@ class Block:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ids = keys[order], ids.take(pa.array(order))
         self.points = np.ascontiguousarray(matrix(embeddings)[order])
+        self.screens: dict[float, Screen] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"screens": {}}
+
+    def screen(self, kappa: float) -> Screen | None:
+        if kappa not in self.screens and len(self.points) > _FEW:
+            self.screens[kappa] = Screen(self.points, kappa)
+        return self.screens.get(kappa)
 
     def search(self, qid: pa.Array, embeddings: pa.Array, k: int, kappa: float, others: bool) -> Iterator[pa.RecordBatch]:
         """``qid, rk, id, dist`` of batches of queries."""
-        step = max(1, _MATRIX_VALUES // max(1, len(self.points)))
-        for lo in range(0, len(qid) if len(self.points) else 0, step):
-            part, q = qid.slice(lo, step), matrix(embeddings.slice(lo, step))
+        for lo in range(0, len(qid) if len(self.points) else 0, _ROWS):
+            part, q = qid.slice(lo, _ROWS), matrix(embeddings.slice(lo, _ROWS))
             own = None
             if others:
                 names = np.array(part.to_pylist(), self.keys.dtype)
                 own = np.minimum(np.searchsorted(self.keys, names), len(self.keys) - 1)
                 own = np.where(self.keys[own] == names, own, -1)
-            place, dist = nearest(q, self.points, k, kappa, own)
+            place, dist = nearest(q, self.points, k, kappa, own, self.screen(kappa))
             row, rank = np.nonzero(np.isfinite(dist))
             yield pa.RecordBatch.from_arrays(
                 [part.take(pa.array(row)), pa.array(rank + 1, pa.int32()), self.ids.take(pa.array(place[row, rank])), pa.array(dist[row, rank])], names=["qid", "rk", "id", "dist"]
             )
 
 
+def _values(points: DataFrame) -> tuple[int, int]:
+    """(rows, doubles in them)."""
+    found = points.agg(F.count("*"), F.sum(F.size("embedding"))).first()
+    return found[0], found[1] or 0
+
+
 def fits_one_block(prototypes: DataFrame) -> bool:
-    return (prototypes.agg(F.sum(F.size("embedding"))).first()[0] or 0) <= BLOCK_VALUES
+    return _values(prototypes.where("embedding is not null"))[1] <= BLOCK_VALUES
 
 
-def geodesic_knn(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kappa: float = KAPPA, others: bool = False) -> DataFrame:
-    """``qid, rk, id, dist``: the k nearest of ``prototypes(id, embedding)`` for each of ``queries(qid, embedding)``.
+Search = Callable[[Block, pa.Array, pa.Array], Iterable[pa.RecordBatch]]
 
-    With ``others`` a query is not its own neighbour (equal ids).  Fewer prototypes than k give fewer rows; none give no rows;
-    rows without an embedding are left out on either side.  Works on streaming queries as long as the prototypes fit one block.
+
+def by_blocks(queries: DataFrame, prototypes: DataFrame, search: Search, kinds: dict[str, str]) -> tuple[DataFrame, bool]:
+    """(rows that ``search(block, qid, embedding)`` makes of all queries against all prototypes, whether these are in several blocks).
+
+    In several blocks each query meets each block once, in a call of its own.
     """
     queries = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     kind = "string" if dict(prototypes.dtypes)["id"] == "string" else "bigint"
     prototypes = prototypes.select(F.col("id").cast(kind).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
-    schema = f"qid {dict(queries.dtypes)['qid']}, rk int, id {kind}, dist double"
-    if fits_one_block(prototypes):
+    schema = ", ".join(f"{name} {of}" for name, of in kinds.items())
+    there, size = _values(prototypes)
+    if size <= BLOCK_VALUES:
         table = prototypes.toArrow()
         block = Block(table["id"].combine_chunks(), table["embedding"].combine_chunks())
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from block.search(batch.column(0), batch.column(1), k, kappa, others)
+                yield from search(block, batch.column(0), batch.column(1))
 
-        return queries.mapInArrow(run, schema)
+        if not queries.isStreaming and (tasks := math.ceil(queries.count() * there / TASK_PAIRS)) > 1:
+            queries = queries.repartition(max(tasks, queries.sparkSession.sparkContext.defaultParallelism), "qid")
+        return queries.mapInArrow(run, schema), False
     if queries.isStreaming:
         raise ValueError("the prototypes of a stream must fit one block")
-    size = prototypes.agg(F.sum(F.size("embedding"))).first()[0]
     across, down = 2 * math.ceil(size / BLOCK_VALUES), math.ceil(queries.count() / QUERY_BLOCK)
     left = queries.select("*", F.pmod(F.xxhash64("qid"), F.lit(down)).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("_p"))
     right = prototypes.select("*", F.pmod(F.xxhash64("id"), F.lit(across)).alias("_p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("_q"))
+    fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in T._parse_datatype_string(schema)])
 
     def pair(some: pa.Table, block: pa.Table) -> pa.Table:
-        made = Block(block["id"].combine_chunks(), block["embedding"].combine_chunks())
-        found = made.search(some["qid"].combine_chunks(), some["embedding"].combine_chunks(), k, kappa, others) if some.num_rows and block.num_rows else []
-        empty = pa.schema([("qid", some.schema.field("qid").type), ("rk", pa.int32()), ("id", block.schema.field("id").type), ("dist", pa.float64())])
-        return pa.Table.from_batches(found, empty)
+        found = []
+        if some.num_rows and block.num_rows:
+            found = search(Block(block["id"].combine_chunks(), block["embedding"].combine_chunks()), some["qid"].combine_chunks(), some["embedding"].combine_chunks())
+        return pa.Table.from_batches([x.cast(fields) for x in found], fields)
+
+    return left.groupBy("_p", "_q").cogroup(right.groupBy("_p", "_q")).applyInArrow(pair, schema), True
+
+
+def geodesic_knn(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kappa: float = KAPPA, others: bool = False) -> DataFrame:
+    """``qid, rk, id, dist``: the k nearest of ``prototypes(id, embedding)`` for each of ``queries(qid, embedding)``.
 
-    parts = left.groupBy("_p", "_q").cogroup(right.groupBy("_p", "_q")).applyInArrow(pair, schema)
+    With ``others`` a query is not its own neighbour (equal ids).  Fewer prototypes than k give fewer rows; none give no rows;
+    rows without an embedding are left out on either side.  Works on streaming queries as long as the prototypes fit one block.
+    """
+    kinds = {"qid": dict(queries.dtypes)["qid"], "rk": "int", "id": "string" if dict(prototypes.dtypes)["id"] == "string" else "bigint", "dist": "double"}
+    parts, several = by_blocks(queries, prototypes, lambda block, qid, z: block.search(qid, z, k, kappa, others), kinds)
+    if not several:
+        return parts
     best = Window.partitionBy("qid").orderBy("dist", "id")
     return parts.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k)
 
@@ -148,8 +279,49 @@ def margins(neighbours: DataFrame) -> DataFrame:
     return two.select("qid", "id", "dist", margin.alias("margin"))
 
 
+def _later(block: Block, ids: pa.Array, embeddings: pa.Array, kappa: float) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
+    """(ids of rows, first place, their distances to the block's points from there on, which of these are later than the row)."""
+    names = np.array(ids.to_pylist(), block.keys.dtype)
+    order = np.argsort(names, kind="stable")
+    names, ids, z = names[order], ids.take(pa.array(order)), matrix(embeddings)[order]
+    for lo in range(0, len(names), _ROWS // 4):
+        at = slice(lo, lo + _ROWS // 4)
+        after = np.searchsorted(block.keys, names[at], side="right")
+        for first in range(int(after[0]), len(block.keys), _ROWS):
+            d = N.pairwise(z[at], block.points[first : first + _ROWS], kappa)
+            yield ids.slice(lo, _ROWS // 4), first, d, np.arange(first, first + d.shape[1])[None, :] >= after[:, None]
+
+
 def distance_matrix(points: DataFrame, kappa: float = KAPPA) -> DataFrame:
     """``i, j, dist`` for i < j over ``points(id, embedding)``: the upper triangle."""
-    a = points.select(F.col("id").alias("i"), F.col("embedding").alias("_a"))
-    b = points.select(F.col("id").alias("j"), F.col("embedding").alias("_b"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", G.poincare_distance(F.col("_a"), F.col("_b"), kappa).alias("dist"))
+    kind = "string" if dict(points.dtypes)["id"] == "string" else "bigint"
+
+    def search(block: Block, ids: pa.Array, embeddings: pa.Array) -> Iterator[pa.RecordBatch]:
+        for rows, first, d, later in _later(block, ids, embeddings, kappa):
+            row, column = np.nonzero(later)
+            yield pa.RecordBatch.from_arrays([rows.take(pa.array(row)), block.ids.take(pa.array(column + first)), pa.array(d[row, column])], names=["i", "j", "dist"])
+
+    rows = points.select(F.col("id").cast(kind).alias("qid"), "embedding")
+    found = by_blocks(rows, points, search, {"i": kind, "j": kind, "dist": "double"})[0]
+    return found.select(*(F.col(x).cast(dict(points.dtypes)["id"]).alias(x) for x in "ij"), "dist")
+
+
+def distance_stats(points: DataFrame, kappa: float = KAPPA) -> DataFrame:
+    """``n_pairs, mean_distance, std_distance`` of the upper triangle, from sums of its blocks; no row per pair is made."""
+
+    def search(block: Block, ids: pa.Array, embeddings: pa.Array) -> Iterator[pa.RecordBatch]:
+        n, total, off = [], [], []
+        for _, _, d, later in _later(block, ids, embeddings, kappa):
+            x = d.ravel() if later.all() else d[later]
+            if len(x):
+                n.append(len(x))
+                total.append(float(x.sum()))
+                off.append(float(((x - total[-1] / len(x)) ** 2).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(off, pa.float64())], names=["n", "total", "off"])
+
+    rows = points.select(F.col("id").alias("qid"), "embedding")
+    parts = by_blocks(rows, points, search, {"n": "bigint", "total": "double", "off": "double"})[0]
+    sums = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").alias("t"), F.sum(F.col("off") + F.col("total") * F.col("total") / F.col("n")).alias("s"))
+    n, mean = F.col("n"), F.col("t") / F.col("n")
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.col("s") - F.col("t") * mean, F.lit(0.0)) / (n - 1)))
+    return sums.select(n.alias("n_pairs"), F.when(n > 0, mean).alias("mean_distance"), spread.alias("std_distance"))

@@ -37,6 +37,49 @@ def test_neighbours_equal_the_native_join(prototypes, monkeypatch):
     assert pairs(knn.geodesic_knn(q, prototypes, 5, others=True)) == want
 
 
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_screened_neighbours_equal_brute_force(k):
+    """Copies, points next to the rim and rows that are their own neighbours, over more columns than are held at once."""
+    p = ball(3000, seed=4)
+    p[500:900] = p[3]
+    p[7] *= 0.89442 / np.linalg.norm(p[7])
+    q = np.concatenate([p[:20], p[850:860], ball(70, seed=5), p[7:8] * 0.99999])
+    own = np.concatenate([np.arange(20), np.arange(850, 860), np.full(71, -1)])
+    for mine in (None, own):
+        want, got = knn._every(q, p, k, 1.25, mine), knn.nearest(q, p, k, 1.25, mine)
+        assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+
+
+def test_neighbours_over_many_columns_and_tasks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "_COLUMNS", 64)
+    monkeypatch.setattr(knn, "_FEW", 10)
+    z = ball(700, seed=7)
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "id long, embedding array<double>").coalesce(1)
+    q = p.select(F.col("id").alias("qid"), "embedding")
+    place, dist = knn._every(z, z, 3, 1.25, np.arange(700))
+    want = sorted((i, k + 1, int(place[i, k]), round(dist[i, k], 9)) for i in range(700) for k in range(3))
+    assert pairs(knn.geodesic_knn(q, p, 3, others=True)) == want
+    monkeypatch.setattr(knn, "TASK_PAIRS", 10_000)
+    found = knn.geodesic_knn(q, p, 3, others=True)
+    assert pairs(found) == want and found.rdd.getNumPartitions() >= 49  # one task for each input file before
+
+
+def test_distances_of_all_pairs_by_blocks(spark, prototypes, monkeypatch):
+    z = ball(30)
+    want = {(i, j): float(N.distance(z[i], z[j])) for i in range(30) for j in range(i + 1, 30)}
+    x = np.array(list(want.values()))
+    for values in (knn.BLOCK_VALUES, 40):
+        monkeypatch.setattr(knn, "BLOCK_VALUES", values)
+        got = {(r.i, r.j): r.dist for r in knn.distance_matrix(prototypes).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+        stats = knn.distance_stats(prototypes)
+        s = stats.first()
+        assert s.n_pairs == 435 and s.mean_distance == pytest.approx(x.mean()) and s.std_distance == pytest.approx(x.std(ddof=1))
+        assert "NestedLoop" not in stats._jdf.queryExecution().toString()
+    few = [knn.distance_stats(prototypes.limit(n)).first() for n in (0, 1, 2)]
+    assert [s.n_pairs for s in few] == [0, 0, 1] and few[1].mean_distance is None and few[2].std_distance is None
+
+
 def test_own_nearest_many_k_and_empty(prototypes):
     q = prototypes.select(F.col("id").alias("qid"), "embedding")
     found = knn.geodesic_knn(q, prototypes, 100).collect()
