@@ -32,6 +32,8 @@ QUERY_BLOCK, TASK_PAIRS = 1 << 16, 1 << 28
 _ROWS, _COLUMNS, _EXACT = 1024, 8192, 1 << 15
 #: Up to so many points all distances are exact from the start.
 _FEW = 512
+#: Pairs up to which the join in built-in expressions is planned.
+SQL_PAIRS = 1 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -260,7 +262,9 @@ def geodesic_knn(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kapp
 
 
 def geodesic_knn_sql(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kappa: float = KAPPA, others: bool = False) -> DataFrame:
-    """The same by a nested-loop join and a window, in built-in expressions; for few prototypes."""
+    """The same by a nested-loop join and a window, in built-in expressions, while there are few pairs; more go by ``geodesic_knn``."""
+    if queries.count() * prototypes.count() > SQL_PAIRS:
+        return geodesic_knn(queries, prototypes, k, kappa, others)
     q = queries.select("qid", F.col("embedding").alias("_q"), G.norm2(F.col("embedding")).alias("_nq"))
     p = prototypes.select("id", F.col("embedding").alias("_p"), G.norm2(F.col("embedding")).alias("_np"))
     pairs = q.join(p, q.qid != p.id) if others else q.crossJoin(p)

@@ -64,6 +64,14 @@ def test_neighbours_over_many_columns_and_tasks(spark, monkeypatch):
     assert pairs(found) == want and found.rdd.getNumPartitions() >= 49  # one task for each input file before
 
 
+def test_many_pairs_leave_the_join(spark, prototypes, monkeypatch):
+    q = prototypes.select(F.col("id").alias("qid"), "embedding")
+    want = pairs(knn.geodesic_knn_sql(q, prototypes, 2))
+    monkeypatch.setattr(knn, "SQL_PAIRS", 100)
+    found = knn.geodesic_knn_sql(q, prototypes, 2)
+    assert pairs(found) == want and "Cartesian" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_distances_of_all_pairs_by_blocks(spark, prototypes, monkeypatch):
     z = ball(30)
     want = {(i, j): float(N.distance(z[i], z[j])) for i in range(30) for j in range(i + 1, 30)}
