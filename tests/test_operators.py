@@ -223,6 +223,67 @@ def test_neighbour_joining(n):
             assert 0 <= tree.root_of(n, len(z), edges, how) < len(z)
 
 
+def plain_joins(points):
+    """Every pair looked at for each join, over a whole matrix."""
+    d, active, out, new = N.pairwise(points, points), list(range(len(points))), [], len(points)
+    d[np.arange(len(d)), np.arange(len(d))] = 0
+    while (m := len(active)) > 2:
+        total = d.sum(1)
+        q = (m - 2) * d - total[:, None] - total[None, :]
+        q[np.tril_indices(m)] = np.inf
+        i, j = np.unravel_index(int(q.argmin()), q.shape)
+        li = max(0.5 * (d[i, j] + (total[i] - total[j]) / (m - 2)), 0.0)
+        out += [(active[i], new, li), (active[j], new, max(d[i, j] - li, 0.0))]
+        rest = [x for x in range(m) if x not in (i, j)]
+        row = np.maximum(0.5 * (d[i, rest] + d[j, rest] - d[i, j]), 0)
+        d, active, new = np.block([[d[np.ix_(rest, rest)], row[:, None]], [row[None, :], np.zeros((1, 1))]]), [*(active[x] for x in rest), new], new + 1
+    return out
+
+
+@pytest.mark.parametrize("n", [70, 150, 260])
+def test_bounded_joins_equal_looking_at_all_pairs(n, monkeypatch):
+    points = ball(n, dim=16, seed=n)
+    want = plain_joins(points)
+    got = tree.join_neighbours(points, places=False)[1]
+    most = 2 * (n - 4)  # of four nodes two pairs are equal
+    assert [e[:2] for e in got[:most]] == [e[:2] for e in want[:most]] and np.allclose([e[2] for e in got[:most]], [e[2] for e in want[:most]], atol=1e-12)
+    assert len(got) == 2 * n - 3
+    assert tree._Joining(points, 1.25).packed.nbytes == 4 * n * (n - 1)  # half a matrix; a matrix of twice as many nodes before
+    looked = []
+    row = tree._Joining.row
+    monkeypatch.setattr(tree._Joining, "row", lambda self, s: looked.append(s) or row(self, s))
+    tree.join_neighbours(points, places=False)
+    assert len(looked) < n * n / 6
+
+
+def test_branches_are_nodes_and_edges(spark):
+    z = ball(9, seed=3)
+    pts = spark.createDataFrame([(t, i, f"t{i}", z[i].tolist()) for t, n in ((0, 9), (1, 1), (2, 2), (3, 3)) for i in range(n)], "tree_id int, ordinal int, taxon_id string, embedding array<double>")
+    pts = pts.coalesce(1).cache()
+    n, e, both = tree.nodes(pts).cache(), tree.edges(pts).cache(), tree.branches(pts).cache()
+    assert sorted(map(str, both.select("tree_id", "node_id", "taxon_id", "parent").collect())) == sorted(map(str, n.drop("embedding").collect()))
+    assert sorted(both.where("parent is not null").select("tree_id", "node_id", "parent", "length").collect()) == sorted(e.drop("support").collect())
+    rounded = lambda df: sorted((*r[:4], round(r.total_length, 9)) for r in df.collect())
+    assert rounded(tree.branch_statistics(both)) == rounded(tree.statistics(n, e))
+    paths = tree.patristic(n, e).where("tree_id = 0").select(F.col("a").alias("i"), F.col("b").alias("j"), "dist").cache()
+    quartets = tree.all_quartets(spark.createDataFrame([(f"t{i}",) for i in range(9)], "id string").coalesce(1)).cache()
+    on = tree.quartets_on(both, quartets.withColumn("tree_id", F.lit(0)))
+    shown = lambda df: {(r.a, r.b, r.c, r.d): (r.quartet.topology, round(r.quartet.delta, 9)) for r in df.collect()}
+    want, got = shown(tree.with_distances(quartets, paths)), shown(on)
+    assert len(got) == 126 and got.keys() == want.keys() and all(got[k] == want[k] for k in want if want[k][1] > 1e-6 or got[k][0] == want[k][0])
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_lifted_paths_equal_walks(n):
+    rng = np.random.default_rng(n)
+    parent = np.array([-1] + [int(rng.integers(0, i)) for i in range(1, n)] + [-1])  # the last node stands alone
+    length = rng.random(n + 1)
+    near = tree.adjacency(n + 1, [(i, int(parent[i]), float(length[i])) for i in range(1, n)])
+    a, b = map(np.ravel, np.meshgrid(np.arange(n + 1), np.arange(n + 1)))
+    want = [tree.walk(near, int(x))[1][int(y)] for x, y in zip(a, b, strict=True)]
+    np.testing.assert_allclose(tree.lifted(parent, np.where(parent < 0, 0, length), a, b), want, atol=1e-12)
+
+
 def test_topologies(spark):
     rows = [(1, 5, 5, 5, 5, 1), (5, 1, 5, 5, 1, 5), (5, 5, 1, 1, 5, 5), (2, 3, 3, 3, 3, 2)]
     df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "ab double, ac double, ad double, bc double, bd double, cd double")
