@@ -42,10 +42,20 @@ def lineage() -> Column:
 
 
 def centroids(p: DataFrame) -> DataFrame:
-    """``id, rank, lineage, embedding``: one prototype per taxon of every rank, the plain mean of its points (which lies in the ball)."""
-    rows = p.withColumn("lineage", lineage()).select("embedding", "lineage", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("rank"))
-    rows = rows.select("rank", F.get("lineage", F.col("rank")).alias("id"), F.slice("lineage", 1, F.col("rank") + 1).alias("lineage"), F.posexplode("embedding").alias("k", "x"))
-    mean = rows.groupBy("rank", "id", "lineage", "k").agg(F.avg("x").alias("x"))
+    """``id, rank, lineage, embedding``: one prototype per taxon of every rank, the plain mean of its points (which lies in the ball).
+
+    Taxa of the same points (a phylum and its only class) have the same mean to the last bit, so that their ties go by id: values are
+    added as whole numbers of 2**-31 and of 2**-62, whose sums do not depend on the order.
+    """
+    unit = F.lit(float(1 << 31))
+    high = F.floor(F.col("x") * unit)
+    rows = p.select(lineage().alias("lineage"), F.posexplode("embedding").alias("k", "x"))
+    rows = rows.select("lineage", "k", high.alias("h"), F.round((F.col("x") * unit - high) * unit).cast("long").alias("l"))
+    sums = [F.sum("h").alias("h"), F.sum("l").alias("l")]
+    rows = rows.groupBy("lineage", "k").agg(*sums, F.count("h").alias("n")).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    rows = rows.select("rank", F.get("lineage", F.col("rank")).alias("id"), F.slice("lineage", 1, F.col("rank") + 1).alias("lineage"), "k", "h", "l", "n")
+    total = rows.groupBy("rank", "id", "lineage", "k").agg(*sums, F.sum("n").alias("n"))
+    mean = total.withColumn("x", (F.col("h") / unit + F.col("l") / unit / unit) / F.col("n"))
     return mean.groupBy("rank", "id", "lineage").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("embedding"))
 
 
