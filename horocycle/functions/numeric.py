@@ -79,3 +79,24 @@ def karcher_mean(points: np.ndarray, kappa: float = KAPPA, steps: int = 50, tol:
             break
         mean = clamp(exp_map(mean, step, kappa), kappa)
     return mean, float((w * distance(mean[None, :], points, kappa) ** 2).sum())
+
+
+def karcher_means(points: np.ndarray, first: np.ndarray, kappa: float = KAPPA, steps: int = 50, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """``karcher_mean`` without weights of each run of rows that begins at ``first``, all runs stepping together until each has settled."""
+    count = np.diff([*first, len(points)])
+    w = np.repeat(1 / count, count)
+    mean = clamp(np.add.reduceat(w[:, None] * points, first), kappa)
+    todo = np.arange(len(first))
+    rows, at, owner = points, first, np.repeat(todo, count)
+    for _ in range(steps):
+        step = np.add.reduceat((1 / count[owner])[:, None] * log_map(mean[owner], rows, kappa), at)
+        far = ~(np.linalg.norm(step, axis=1) < tol)
+        if not far.any():
+            break
+        mean[todo[far]] = clamp(exp_map(mean[todo[far]], step[far], kappa), kappa)
+        if not far.all():
+            rows = rows[np.repeat(far, count[todo])]
+            todo = todo[far]
+            owner, at = np.repeat(todo, count[todo]), np.cumsum(count[todo]) - count[todo]
+    owner = np.repeat(np.arange(len(first)), count)
+    return mean, np.add.reduceat(w * distance(mean[owner], points, kappa) ** 2, first)

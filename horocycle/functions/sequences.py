@@ -44,6 +44,33 @@ def kmer_index(kmer: Column, k: int = 4) -> Column:
     return out
 
 
+#: Letters that are counted at once, and the longest k-mers that are counted in a row of all of them.
+_LETTERS, DENSE = 1 << 20, 6
+
+
+def kmer_counts(seqs: list[str | None], k: int) -> np.ndarray:
+    """A row of counts of all 4**k k-mers for each sequence, in order of their numbers; what holds another letter is no k-mer."""
+    code = np.full(256, 255, np.uint8)
+    code[[ord(c) for c in "ACGTN"]] = [0, 1, 2, 3, 0]
+    out = np.zeros((len(seqs), 4**k), np.int64)
+    texts = [(s or "").upper().encode("latin-1", "replace") for s in seqs]
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo + 1, len(texts[lo])
+        while hi < min(len(texts), lo + 1000) and size + len(texts[hi]) <= _LETTERS:
+            size += len(texts[hi])
+            hi += 1
+        x = code[np.frombuffer(b"\0".join(texts[lo:hi]), np.uint8)]
+        if (n := len(x) - k + 1) > 0:
+            bad, value = np.zeros(n, bool), np.repeat(np.arange(hi - lo, dtype=np.int32), [len(t) + 1 for t in texts[lo:hi]])[:n]
+            for j in range(k):
+                bad |= x[j : j + n] == 255
+                value = value * 4 + x[j : j + n]
+            out[lo:hi] = np.bincount(value[~bad], minlength=(hi - lo) * 4**k)[: (hi - lo) * 4**k].reshape(hi - lo, -1)
+        lo = hi
+    return out
+
+
 def kmer_histogram(sequences: DataFrame, k: int = 4) -> DataFrame:
     """``sequence_id, kmer, n, freq`` of ``sequences(sequence_id, sequence)``: counts and their shares."""
     rows = sequences.select("sequence_id", F.explode(kmers(F.col("sequence"), k)).alias("kmer")).groupBy("sequence_id", "kmer").agg(F.count("*").alias("n"))
@@ -78,6 +105,8 @@ class KmerEncoder:
         self.projection = default_projection(k) if projection is None else projection
 
     def counts(self, seq: str) -> np.ndarray:
+        if self.k <= DENSE:
+            return kmer_counts([seq], self.k)[0].astype(float)
         code = np.full(256, -1, np.int64)
         code[[ord(c) for c in "ACGTN"]] = [0, 1, 2, 3, 0]
         x = code[np.frombuffer(seq.upper().encode("latin-1", "replace"), np.uint8)]
@@ -88,7 +117,7 @@ class KmerEncoder:
         return np.bincount(good @ (4 ** np.arange(self.k - 1, -1, -1)), minlength=4**self.k).astype(float)
 
     def encode_batch(self, seqs: list[str]) -> np.ndarray:
-        freq = np.stack([self.counts(s or "") for s in seqs])
+        freq = kmer_counts(seqs, self.k).astype(float) if self.k <= DENSE else np.stack([self.counts(s or "") for s in seqs])
         total = freq.sum(1, keepdims=True)
         z = np.divide(freq, total, out=np.zeros_like(freq), where=total > 0) @ self.projection
         norm = np.linalg.norm(z, axis=1, keepdims=True)
@@ -96,17 +125,19 @@ class KmerEncoder:
         return N.clamp(z, self.kappa)
 
 
-def encoded(sequences: DataFrame, encoder=None, col: str = "sequence") -> DataFrame:
-    """Add ``embedding`` by an encoder object, in Arrow batches; works on streams too."""
+def encoded(sequences: DataFrame, encoder=None, col: str = "sequence", keep: bool = True) -> DataFrame:
+    """Add ``embedding`` by an encoder object, in Arrow batches; works on streams too.  Without ``keep`` the texts are left out."""
     encoder = encoder or KmerEncoder()
     at = sequences.columns.index(col)
-    schema = T.StructType([*sequences.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    left = [i for i in range(len(sequences.columns)) if keep or i != at]
+    schema = T.StructType([*(sequences.schema.fields[i] for i in left), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                z = encoder.encode_batch(batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z.tolist(), pa.list_(pa.float64()))], names=[*batch.schema.names, "embedding"])
+                z = np.asarray(encoder.encode_batch(batch.column(at).to_pylist()), float)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), lists], names=schema.names)
 
     return sequences.mapInArrow(run, schema)
 

@@ -522,7 +522,7 @@ def chimera_scores(spark, sf_dir):
 def chimera_pipeline(spark, sf_dir):
     """Windows of sequences, encoded by k-mers and scored."""
     w = X.dna(spark, sf_dir).select("sequence_id", F.posexplode(S.windows(F.col("sequence"))).alias("window_idx", "sequence"))
-    return chimera.chimera_scores(S.encoded(w)).select("sequence_id", "n_windows", r6("score", "score"), "is_chimera")
+    return chimera.chimera_scores(S.encoded(w, keep=False)).select("sequence_id", "n_windows", r6("score", "score"), "is_chimera")
 
 
 @query()

@@ -211,6 +211,26 @@ def test_chimeras():
     assert chimera.score(split[:1])["confidence"] == 1.0 and chimera.two_means(split[:3]) == (0.0, 0.0, 0.0, None)
 
 
+def test_chimera_scores_of_many_sequences_at_once(spark):
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for name, n in (("a", 1), ("b", 2), (None, 3), ("d", 9), ("e", 40), ("f", 4)):
+        z = N.clamp(rng.normal(0, 0.15, (n, 6)) + (np.arange(n) < n // 2)[:, None] * 0.2)
+        rows += [(name, i, x.tolist()) for i, x in enumerate(z)]
+        want[name] = chimera.score(z)
+    df = spark.createDataFrame(rows, "sequence_id string, window_idx int, embedding array<double>").repartition(5).cache()
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        scored = chimera.chimera_scores(df)
+        got = {r.sequence_id: r for r in scored.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    assert got.keys() == want.keys() and "InPandas" not in scored._jdf.queryExecution().toString()  # a call of pandas for each sequence before
+    for name, w in want.items():
+        assert all(got[name][k] == pytest.approx(w[k], abs=1e-9) for k in ("score", "variance", "bimodality", "separation", "balance", "confidence", "atlas_r") if k in w)
+        assert (got[name].is_chimera, got[name].breakpoint_idx) == (w["is_chimera"], w["breakpoint_idx"])
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 10])
 def test_neighbour_joining(n):
     z, edges = tree.join_neighbours(ball(n, seed=42))
