@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Iterable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from horocycle.functions import numeric as N
 from horocycle.functions.geometry import let
+from horocycle.functions.groups import map_groups
 from horocycle.functions.constants import KAPPA, MIN_WINDOW, RANKS, STRIDE, WINDOW
 
 MAX_TOKENS = 512
@@ -72,10 +74,35 @@ def kmer_counts(seqs: list[str | None], k: int) -> np.ndarray:
 
 
 def kmer_histogram(sequences: DataFrame, k: int = 4) -> DataFrame:
-    """``sequence_id, kmer, n, freq`` of ``sequences(sequence_id, sequence)``: counts and their shares."""
-    rows = sequences.select("sequence_id", F.explode(kmers(F.col("sequence"), k)).alias("kmer")).groupBy("sequence_id", "kmer").agg(F.count("*").alias("n"))
-    total = rows.groupBy("sequence_id").agg(F.sum("n").alias("_t"))
-    return rows.join(total, "sequence_id").select("sequence_id", "kmer", "n", (F.col("n") / F.col("_t")).alias("freq"))
+    """``sequence_id, kmer, n, freq`` of ``sequences(sequence_id, sequence)``: counts and their shares.
+
+    Rows are counted where they are, and rows of counts meet by id; k-mers above ``DENSE`` letters are listed and grouped.
+    """
+    if k > DENSE:
+        rows = sequences.select("sequence_id", F.explode(kmers(F.col("sequence"), k)).alias("kmer")).groupBy("sequence_id", "kmer").agg(F.count("*").alias("n"))
+        total = rows.groupBy("sequence_id").agg(F.sum("n").alias("_t"))
+        return rows.join(total, "sequence_id").select("sequence_id", "kmer", "n", (F.col("n") / F.col("_t")).alias("freq"))
+    kind = dict(sequences.dtypes)["sequence_id"]
+    names = pa.array(["".join(x) for x in itertools.product("ACGT", repeat=k)])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                found = kmer_counts(batch.column(1).slice(lo, 1000).to_pylist(), k)
+                some = np.flatnonzero(found.any(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1000).take(pa.array(some)), pa.array([x.tobytes() for x in found[some].astype(np.int32)], pa.binary())], names=["sequence_id", "counts"])
+
+    def merge(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, counts, ends = table.column(0).combine_chunks(), table.column(1).to_pylist(), [*first[1:], table.num_rows]
+        for lo in range(0, len(first), 1000):
+            at = first[lo : lo + 1000]
+            rows = np.frombuffer(b"".join(counts[at[0] : ends[min(lo + 1000, len(first)) - 1]]), np.int32).reshape(-1, 4**k).astype(np.int64)
+            n = np.add.reduceat(rows, at - at[0])
+            row, code = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[row])), names.take(pa.array(code)), pa.array(n[row, code]), pa.array(n[row, code] / n.sum(1)[row])], names=["sequence_id", "kmer", "n", "freq"])
+
+    rows = sequences.select("sequence_id", "sequence").mapInArrow(count, f"sequence_id {kind}, counts binary")
+    return map_groups(rows, ["sequence_id"], merge, f"sequence_id {kind}, kmer string, n bigint, freq double")
 
 
 def windows(seq: Column, size: int = WINDOW, stride: int = STRIDE, least: int = MIN_WINDOW) -> Column:

@@ -231,6 +231,25 @@ def test_chimera_scores_of_many_sequences_at_once(spark):
         assert (got[name].is_chimera, got[name].breakpoint_idx) == (w["is_chimera"], w["breakpoint_idx"])
 
 
+def test_histograms_are_counted_where_rows_are(spark):
+    rows = [(0, "ACGTNacgt"), (1, "AC"), (2, "ACXGTACG"), (None, "GGGGG"), (0, "ACGT"), (3, None), (None, "GGGGAé"), (4, "")]
+    df = spark.createDataFrame(rows, "sequence_id int, sequence string").repartition(3)
+    for k in (2, 4, 7):
+        want = {}
+        for i, s in rows:
+            t = (s or "").upper().replace("N", "A")
+            for j in range(len(t) - k + 1):
+                if set(t[j : j + k]) <= set("ACGT"):
+                    want[i, t[j : j + k]] = want.get((i, t[j : j + k]), 0) + 1
+        total = {i: sum(n for (x, _), n in want.items() if x == i) for i, _ in rows}
+        found = S.kmer_histogram(df, k)
+        got = {(r.sequence_id, r.kmer): (r.n, r.freq) for r in found.collect()}
+        if k <= S.DENSE:
+            assert got == {(i, m): (n, n / total[i]) for (i, m), n in want.items()} and "Generate" not in found._jdf.queryExecution().toString()
+    seqs = ["ACGTACGTN", "", "NNNNN", "ACXGT" * 50]
+    assert (S.kmer_counts(seqs, 3)[3] > 0).sum() == 0 + len({s[i : i + 3] for s in ["ACXGT" * 50] for i in range(248) if "X" not in s[i : i + 3]})
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 10])
 def test_neighbour_joining(n):
     z, edges = tree.join_neighbours(ball(n, seed=42))
