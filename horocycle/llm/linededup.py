@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from horocycle.llm import shared
-from horocycle.llm.quality import DEPLETED_PERCENT, let, normal_line, words_of
+from horocycle.llm.quality import DEPLETED_PERCENT, let, normal_lines, words_of
 
 THRESHOLD, MIN_CHARS = 2, 40
 _LETTERS = "etaonisrhdlucmfw"
@@ -60,8 +60,13 @@ def _placed(lines: DataFrame, threshold: int) -> DataFrame:
 
 
 def _keys(lines: DataFrame, threshold: int) -> DataFrame:
-    """``h, key, probe``: rows that only probe, and rows (not ``probe``) that also index their line."""
-    return _placed(lines, threshold).selectExpr("h", "xxhash64(n - delta, i, substring(line, start, size)) as key", "delta <> 0 or shift <> 0 as probe")
+    """``h, key, probe``: rows that only probe, and rows (not ``probe``) that also index their line.
+
+    Where each character is one byte, the segment is cut from the bytes, which need no counting and have the same hash.
+    """
+    of = lambda line: f"xxhash64(n - delta, i, substring({line}, start, size))"
+    key = f"if(octet_length(line) = n, {of('cast(line as binary)')}, {of('line')}) as key"
+    return _placed(lines, threshold).selectExpr("h", key, "delta <> 0 or shift <> 0 as probe")
 
 
 def _letters(line: Column) -> Column:
@@ -133,9 +138,11 @@ def edit_distance_within(a: Column, b: Column, threshold: int) -> Column:
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, t, pos, line, n, h``; ``t`` is the digest of the text, which tells rows of one or no id apart."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(F.length("line") >= min_chars).withColumn("line", normal_line(F.col("line")))
+    """``doc_id, t, pos, line, n, h``; ``t`` is the digest of the text, which tells rows of one or no id apart.
+
+    Lines become normal before they are rows: a filter on such a column would compute it a second time.
+    """
+    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(normal_lines(F.col("text"), min_chars)).alias("pos", "line"))
     return lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars).withColumn("h", F.xxhash64("line"))
 
 

@@ -21,6 +21,8 @@ from horocycle.llm import shared
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
+#: What white space that is not one blank between words, or \n, shows itself by.
+_ODD = ("  ", "\t", "\r", "\x0b", "\x0c")
 #: Distinct documents of a host, and percent of its distinct documents, from which a line is above the limits.
 LINE_DOCS, LINE_PERCENT = 10, 5
 #: Percent of a document's words in removed lines above which it is depleted.
@@ -36,10 +38,23 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
 
+def _odd(text: Column, blanks: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in blanks))
+
+
 def normal_line(line: Column) -> Column:
     """Lower case, white space collapsed and trimmed; the regular expression runs only on lines that need it."""
-    odd = reduce(lambda a, b: a | b, (F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c", "\n")))
-    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line)))
+    return F.trim(F.lower(F.when(_odd(line, (*_ODD, "\n")), F.regexp_replace(line, BLANKS, " ")).otherwise(line)))
+
+
+def normal_lines(text: Column, min_chars: int) -> Column:
+    """``normal_line`` of each \\n-split line of ``text``, null for those of fewer than ``min_chars`` characters.
+
+    Texts without odd white space, looked for once in the whole of them, skip its search in each line.
+    """
+    lines = F.split(text, "\n")
+    long = lambda f: F.transform(lines, lambda x: F.when(F.length(x) >= min_chars, f(x)))
+    return F.when(_odd(text, _ODD), long(normal_line)).otherwise(long(lambda x: F.trim(F.lower(x))))
 
 
 def repeated_words(words: Column) -> Column:

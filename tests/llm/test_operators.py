@@ -316,6 +316,29 @@ def test_line_dedup_equals_brute_force(spark, docs, threshold):
     assert got == brute_lines(rows, threshold, 40) and len(got) > 20
 
 
+def test_lines_become_normal_once_each(spark):
+    texts = ["A  b\tC " + "x" * 30 + "\n" + "Ü " * 25 + "\nshort", " Plain ASCII " + "y" * 30 + "\n\n" + "Q" * 41, "z" * 45 + "\r\n" + "V\x0bW\x0c" * 15, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = linededup._occurrences(docs, 30)
+    norm = lambda x: " ".join(WORD.findall(x.lower()))
+    want = [(i, p, norm(x)) for i, t in enumerate(texts) for p, x in enumerate((t or "").split("\n")) if len(x) >= 30 and len(norm(x)) >= 30]
+    assert sorted((r.doc_id, r.pos, r.line) for r in found.collect()) == want and len(want) == 6
+    steps = re.split(r"\n *\+- ", found._jdf.queryExecution().optimizedPlan().toString())
+    assert [x.split()[0] for x in steps if "lower(" in x] == ["Generate"]
+
+
+def test_keys_do_not_depend_on_the_bytes_of_the_rest(spark):
+    same = "".join(chr(97 + i % 26) for i in range(48))
+    rows = [(1, same + "the end of one"), (2, same + "the end of öne"), (3, "é" + same[1:] + "the end of one")]
+    lines = spark.createDataFrame(rows, "h long, line string").selectExpr("*", "length(line) as n")
+    of = lambda df: sorted((r.h, r.key, r.probe) for r in df.collect())
+    placed = linededup._placed(lines, 2).selectExpr("h", "xxhash64(n - delta, i, substring(line, start, size)) as key", "delta <> 0 or shift <> 0 as probe")
+    got = of(linededup._keys(lines, 2))
+    assert got == of(placed)
+    keys = [{k for h, k, _ in got if h == x} for x in (1, 2, 3)]
+    assert keys[0] & keys[1] and keys[0] & keys[2] and keys[0] != keys[1]
+
+
 def test_rows_of_one_or_no_id_lose_only_their_own_lines(spark):
     line = lambda x: " ".join(f"{x}{i}{x * 2}" for i in range(12))
     again, near = line("again"), line("again")[:-1] + "#"
