@@ -28,8 +28,10 @@ from horocycle.functions.constants import KAPPA, TOP_K
 BLOCK_VALUES = 1 << 23
 #: Queries of a block where these are dealt, too, and pairs of a task.
 QUERY_BLOCK, TASK_PAIRS = 1 << 16, 1 << 28
-#: Rows and columns of the distances that are held at once, and exact ones that are computed at once.
-_ROWS, _COLUMNS, _EXACT = 1024, 8192, 1 << 15
+#: Rows and columns of the bounds that are held at once (8 MB, near what a core caches), and exact distances that are computed at once.
+_ROWS, _COLUMNS, _EXACT = 1024, 2048, 1 << 15
+#: Distances that are held at once next to the rim.
+_RIM = 1 << 20
 #: Up to so many points all distances are exact from the start.
 _FEW = 512
 #: Pairs up to which the join in built-in expressions is planned.
@@ -102,6 +104,26 @@ def _exactly(q: np.ndarray, nq: np.ndarray, points: np.ndarray, screen: Screen,
     return N.distance_from(sq, nq[row], screen.norms[place], kappa), np.maximum(sq, 1e-15) / screen.room[place]
 
 
+class _Hits:
+    """Where rows of bounds are within their limits; the room for both is used again for each block."""
+
+    def __init__(self, most: int) -> None:
+        self.low, self.within = np.empty(most, np.float32), np.empty(-(-most // 8) * 8, bool)
+
+    def bounds(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        shape = len(left), right.shape[1]
+        return np.matmul(left, right, out=self.low[: shape[0] * shape[1]].reshape(shape))
+
+    def places(self, low: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Flat places, ascending; eight at a time are passed over where none is."""
+        np.less_equal(low, limit[:, None], out=self.within[: low.size].reshape(low.shape))
+        eights = -(-low.size // 8)
+        self.within[low.size : eights * 8] = False
+        some = np.flatnonzero(self.within[: eights * 8].view(np.uint64))
+        word, bit = np.nonzero(self.within.reshape(-1, 8)[some])
+        return some[word] * 8 + bit
+
+
 def _screened(q: np.ndarray, points: np.ndarray, screen: Screen, k: int, kappa: float, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     n, many = len(points), len(q)
     k = min(k, n)
@@ -109,12 +131,13 @@ def _screened(q: np.ndarray, points: np.ndarray, screen: Screen, k: int, kappa:
     left = screen.left(q, nq)
     place, dist, bound = np.full((many, k), n), np.full((many, k), np.inf), np.full((many, k), np.inf)
     limit = np.full(many, np.inf, np.float32)
+    hits = _Hits(many * min(n, _COLUMNS))
 
     def limits(worst: np.ndarray) -> np.ndarray:
         return np.nextafter((worst * (1 + 1e-9)).astype(np.float32), np.float32(np.inf))
 
     for lo in range(0, n, _COLUMNS):
-        low = left @ screen.right[:, lo : lo + _COLUMNS]
+        low = hits.bounds(left, screen.right[:, lo : lo + _COLUMNS])
         width = low.shape[1]
         if not lo and width > k + 8:  # a first limit, from a few of the first points
             some = np.argpartition(low, k + 4, axis=1)[:, : k + 5]
@@ -123,7 +146,7 @@ def _screened(q: np.ndarray, points: np.ndarray, screen: Screen, k: int, kappa:
             if own is not None:
                 first[some.ravel() == own[row]] = np.inf
             limit = limits(np.sort(first.reshape(many, -1), axis=1)[:, k - 1])
-        hit = np.flatnonzero(low <= limit[:, None])
+        hit = hits.places(low, limit)
         row, at = hit // width, hit % width + lo
         if own is not None:
             other = own[row] != at
@@ -155,7 +178,7 @@ def nearest(q: np.ndarray, points: np.ndarray, k: int, kappa: float, own: np.nda
     place, dist = np.zeros((len(q), min(k, len(points))), np.int64), np.zeros((len(q), min(k, len(points))))
     # The formula's least room is out of the screen's reach: all distances where both points are next to the rim.
     rim = ~((1 - kappa * (q * q).sum(1)) * screen.least >= 2e-8) | (screen.least <= 0)
-    for rows, how in ((np.flatnonzero(~rim), _ROWS), (np.flatnonzero(rim), max(1, (_ROWS * _COLUMNS // 8) // len(points)))):
+    for rows, how in ((np.flatnonzero(~rim), _ROWS), (np.flatnonzero(rim), max(1, _RIM // len(points)))):
         for lo in range(0, len(rows), how):
             at = rows[lo : lo + how]
             mine = None if own is None else own[at]

@@ -37,6 +37,19 @@ def test_neighbours_equal_the_native_join(prototypes, monkeypatch):
     assert pairs(knn.geodesic_knn(q, prototypes, 5, others=True)) == want
 
 
+@pytest.mark.parametrize("rows, columns", [(1, 1), (3, 5), (7, 11), (16, 64), (5, 13)])
+def test_places_of_bounds_within_their_limits(rows, columns):
+    rng = np.random.default_rng(rows)
+    hits = knn._Hits(16 * 64)
+    for share in (0.0, 0.02, 0.5, 1.0):  # the room is used again: nothing of a fuller block may stay
+        left, right = rng.normal(size=(rows, 4)).astype(np.float32), rng.normal(size=(4, columns)).astype(np.float32)
+        low = hits.bounds(left, right)
+        assert np.allclose(low, left @ right, atol=1e-5)
+        limit = np.quantile(low, share, axis=1).astype(np.float32)
+        assert hits.places(low, limit).tolist() == np.flatnonzero(low <= limit[:, None]).tolist()
+        assert len(hits.places(low, np.full(rows, np.inf, np.float32))) == low.size and not len(hits.places(low, np.full(rows, -np.inf, np.float32)))
+
+
 @pytest.mark.parametrize("k", [1, 5, 40])
 def test_screened_neighbours_equal_brute_force(k):
     """Copies, points next to the rim and rows that are their own neighbours, over more columns than are held at once."""
