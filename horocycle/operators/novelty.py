@@ -6,18 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horocycle.functions.constants import KAPPA
-from horocycle.operators.knn import geodesic_knn
+from horocycle.operators.knn import geodesic_knn, geodesic_others
 
 SIGMA_K, NOVEL_QUANTILE, DARK_QUANTILE = 5, 0.99, 0.95
 
 
-def _as_queries(prototypes: DataFrame) -> DataFrame:
-    return prototypes.select(F.col("id").alias("qid"), "embedding")
-
-
 def loo_nearest(prototypes: DataFrame, kappa: float = KAPPA) -> DataFrame:
     """``id, dist``: the distance of each prototype to its nearest other one."""
-    return geodesic_knn(_as_queries(prototypes), prototypes, 1, kappa, others=True).select(F.col("qid").alias("id"), "dist")
+    return geodesic_others(prototypes, 1, kappa).select(F.col("qid").alias("id"), "dist")
 
 
 def novelty_threshold(prototypes: DataFrame, q: float = NOVEL_QUANTILE, kappa: float = KAPPA) -> DataFrame:
@@ -49,7 +45,7 @@ def sigma(queries: DataFrame, prototypes: DataFrame, k: int = SIGMA_K, kappa: fl
 
 def sigma_field(prototypes: DataFrame, k: int = SIGMA_K, kappa: float = KAPPA) -> DataFrame:
     """``id, sigma`` of each prototype among the others; 0 for a single one."""
-    found = _harmonic(geodesic_knn(_as_queries(prototypes), prototypes, k, kappa, others=True)).withColumnRenamed("qid", "id")
+    found = _harmonic(geodesic_others(prototypes, k, kappa)).withColumnRenamed("qid", "id")
     return prototypes.select("id").join(found, "id", "left").select("id", F.coalesce("sigma", F.lit(0.0)).alias("sigma"))
 
 

@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,45 @@ def test_neighbours_over_many_columns_and_tasks(spark, monkeypatch):
     assert pairs(found) == want and found.rdd.getNumPartitions() >= 49  # one task for each input file before
 
 
+@pytest.mark.parametrize("rim", [False, True])
+def test_blocks_that_meet_once_find_the_neighbours_of_both_sides(rim):
+    """Within first limits; with copies on both sides, and next to the rim, where the bounds do not hold."""
+    z = ball(4000, seed=11)
+    z[100:400], z[2500:2800] = z[3], z[3]
+    if rim:
+        z[[7, 2007]] *= 0.8944271 / np.linalg.norm(z[[7, 2007]], axis=1, keepdims=True)
+    a, b = (knn.Block(pa.array(np.arange(lo, lo + n)), pa.array(z[lo : lo + n].tolist())) for lo, n in ((0, 1300), (1300, 2700)))
+    for k in (1, 4):
+        want = knn._every(a.points, b.points, k, 1.25), knn._every(b.points, a.points, k, 1.25)
+        for wide in (1.0, 1.3, np.inf):
+            most = [np.maximum(d[:, -1] * wide, d[:, -1]) for _, d in want]
+            most[0][5] = want[0][1][5, 0] / 2  # none within
+            got = knn.mutual(a, b, k, 1.25, *most)
+            for (place, dist), (p, d), limit in zip(want, got, most, strict=True):
+                kept = dist <= limit[:, None]
+                assert (p[kept] == place[kept]).all() and (d[kept] == dist[kept]).all() and kept.mean() > 0.99
+                assert (d[~kept] >= dist[~kept]).all()
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_points_among_each_other_meet_once(spark, monkeypatch, kind):
+    z = ball(6000, dim=4, seed=12)
+    z[50:250] = z[1]
+    name = str if kind == "string" else int
+    names = np.array(sorted(map(name, range(6000))))
+    p = spark.createDataFrame([(name(x), v.tolist()) for x, v in zip(names, z, strict=True)] + [(name(9999), None)], f"id {kind}, embedding array<double>")
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 20_000)
+    found = knn.geodesic_others(p, 3)
+    place, dist = (np.concatenate(x) for x in zip(*(knn._every(z[lo : lo + 500], z, 3, 1.25, np.arange(lo, lo + 500)) for lo in range(0, 6000, 500)), strict=True))
+    want = sorted((name(names[i]), k + 1, name(names[place[i, k]]), round(dist[i, k], 9)) for i in range(6000) for k in range(3))
+    assert pairs(found) == want and dict(found.dtypes)["qid"] == kind
+    limits = knn._limited(p.withColumnRenamed("id", "qid"), p, 6000, 24_000, 3, 1.25, True).collect()
+    most = {r.qid: r.most for r in limits}
+    assert len(most) == 6000 and all(dist[i, 2] <= most[name(names[i])] < math.inf for i in range(6000))
+    q = p.withColumnRenamed("id", "qid").where("qid < 200")
+    assert pairs(knn.geodesic_knn(q, p, 3, others=True)) == [x for x in want if int(x[0]) < 200]
+
+
 def test_many_pairs_leave_the_join(spark, prototypes, monkeypatch):
     q = prototypes.select(F.col("id").alias("qid"), "embedding")
     want = pairs(knn.geodesic_knn_sql(q, prototypes, 2))
