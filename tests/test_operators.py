@@ -117,6 +117,18 @@ def test_points_among_each_other_meet_once(spark, monkeypatch, kind):
     assert pairs(knn.geodesic_knn(q, p, 3, others=True)) == [x for x in want if int(x[0]) < 200]
 
 
+def test_blocks_of_queries_and_prototypes_are_bounded(spark, monkeypatch):
+    """Each call holds a part of the queries and less than a block of prototypes; every query meets every prototype once."""
+    p = spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(ball(3000, dim=4))], "id long, embedding array<double>")
+    q = p.withColumnRenamed("id", "qid")
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 6000)
+    monkeypatch.setattr(knn, "_ROWS", 500)
+    found = knn.by_blocks(q, p, lambda block, qid, z: [pa.RecordBatch.from_arrays([pa.array([len(qid)]), pa.array([len(block.keys)])], names=["q", "p"])], {"q": "bigint", "p": "bigint"})
+    calls = found[0].collect()
+    assert found[1] and len(calls) == 24 and max(r.q for r in calls) < 1000 and max(r.p for r in calls) * 4 < 6000
+    assert sum(r.q * r.p for r in calls) == 9_000_000
+
+
 def test_many_pairs_leave_the_join(spark, prototypes, monkeypatch):
     q = prototypes.select(F.col("id").alias("qid"), "embedding")
     want = pairs(knn.geodesic_knn_sql(q, prototypes, 2))
