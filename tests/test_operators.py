@@ -129,6 +129,16 @@ def test_blocks_of_queries_and_prototypes_are_bounded(spark, monkeypatch):
     assert sum(r.q * r.p for r in calls) == 9_000_000
 
 
+def test_threshold_over_several_blocks(spark, monkeypatch):
+    z = ball(5000, dim=4, seed=13)
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "id long, embedding array<double>")
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 16_000)
+    asked = []
+    monkeypatch.setattr(novelty, "geodesic_others", lambda *x, of=novelty.geodesic_others: asked.append(x[1]) or of(*x))
+    nearest = np.concatenate([knn._every(z[lo : lo + 500], z, 1, 1.25, np.arange(lo, lo + 500))[1][:, 0] for lo in range(0, 5000, 500)])
+    assert novelty.novelty_threshold(p).first().threshold == pytest.approx(np.quantile(nearest, 0.99), abs=1e-9) and asked == [1]
+
+
 def test_many_pairs_leave_the_join(spark, prototypes, monkeypatch):
     q = prototypes.select(F.col("id").alias("qid"), "embedding")
     want = pairs(knn.geodesic_knn_sql(q, prototypes, 2))
