@@ -287,13 +287,13 @@ class Block:
 
 
 def _values(points: DataFrame) -> tuple[int, int]:
-    """(rows, doubles in them)."""
-    found = points.agg(F.count("*"), F.sum(F.size("embedding"))).first()
+    """(rows, doubles in them) without those that have no embedding."""
+    found = points.where("embedding is not null").agg(F.count("*"), F.sum(F.size("embedding"))).first()
     return found[0], found[1] or 0
 
 
 def fits_one_block(prototypes: DataFrame) -> bool:
-    return _values(prototypes.where("embedding is not null"))[1] <= BLOCK_VALUES
+    return _values(prototypes)[1] <= BLOCK_VALUES
 
 
 Search = Callable[[Block, pa.Array, pa.Array], Iterable[pa.RecordBatch]]
@@ -312,22 +312,24 @@ def _by_one(queries: DataFrame, pairs: Callable[[], int], prototypes: pa.Table,
     return queries.mapInArrow(run, schema)
 
 
-def by_blocks(queries: DataFrame, prototypes: DataFrame, search: Search, kinds: dict[str, str]) -> tuple[DataFrame, bool]:
+def by_blocks(queries: DataFrame, prototypes: DataFrame, search: Search, kinds: dict[str, str], sizes: tuple | None = None) -> tuple[DataFrame, bool]:
     """(rows that ``search(block, qid, embedding)`` makes of all queries against all prototypes, whether these are in several blocks).
 
-    In several blocks each query meets each block once, in a call of its own.  A column ``most`` of the queries is handed on.
+    In several blocks each query meets each block once, in a call of its own.  A column ``most`` of the queries is handed on.  ``sizes`` are
+    ``_values`` of the prototypes and, where these are in several blocks, of the queries, if they are known.
     """
     given = ["most"] if "most" in queries.columns else []
     queries = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding"), *given).where("embedding is not null")
     kind = "string" if dict(prototypes.dtypes)["id"] == "string" else "bigint"
     prototypes = prototypes.select(F.col("id").cast(kind).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     schema = ", ".join(f"{name} {of}" for name, of in kinds.items())
-    there, size = _values(prototypes)
+    (there, size), mine = sizes or (_values(prototypes), None)
     if size <= BLOCK_VALUES:
         return _by_one(queries, lambda: queries.count() * there, prototypes.toArrow(), search, schema), False
     if queries.isStreaming:
         raise ValueError("the prototypes of a stream must fit one block")
-    across, many = 2 * math.ceil(size / BLOCK_VALUES), queries.count()
+    many = (mine or _values(queries))[0]
+    across = 2 * math.ceil(size / BLOCK_VALUES)
     even = math.ceil(CORE_TASKS * queries.sparkSession.sparkContext.defaultParallelism / across)
     down = max(math.ceil(many / QUERY_BLOCK), min(even, math.ceil(many / _ROWS)))
     left = queries.select("*", F.pmod(F.xxhash64("qid"), F.lit(down)).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("_p"))
@@ -370,17 +372,18 @@ def geodesic_knn(queries: DataFrame, prototypes: DataFrame, k: int = TOP_K, kapp
     rows without an embedding are left out on either side.  Works on streaming queries as long as the prototypes fit one block.
     """
     kinds = {"qid": dict(queries.dtypes)["qid"], "rk": "int", "id": "string" if dict(prototypes.dtypes)["id"] == "string" else "bigint", "dist": "double"}
-    size = _values(prototypes.where("embedding is not null"))[1]
-    if size > BLOCK_VALUES and not queries.isStreaming:
-        queries = _limited(queries, prototypes, queries.count(), size, k, kappa, others)
-    parts, several = by_blocks(queries, prototypes, lambda block, qid, z, most=None: block.search(qid, z, k, kappa, others, most), kinds)
+    sizes = _values(prototypes), None
+    if sizes[0][1] > BLOCK_VALUES and not queries.isStreaming:
+        sizes = sizes[0], _values(queries)
+        queries = _limited(queries, prototypes, sizes[1][0], sizes[0][1], k, kappa, others)
+    parts, several = by_blocks(queries, prototypes, lambda block, qid, z, most=None: block.search(qid, z, k, kappa, others, most), kinds, sizes)
     return _merged(parts, k) if several else parts
 
 
 def geodesic_others(points: DataFrame, k: int = TOP_K, kappa: float = KAPPA) -> DataFrame:
     """``qid, rk, id, dist``: the k nearest others of each of ``points(id, embedding)``; ids are unique."""
     rows = points.select(F.col("id").alias("qid"), "embedding")
-    there, size = _values(points.where("embedding is not null"))
+    there, size = _values(points)
     if size <= BLOCK_VALUES:
         return geodesic_knn(rows, points, k, kappa, others=True)
     of, kind = dict(points.dtypes)["id"], "string" if dict(points.dtypes)["id"] == "string" else "bigint"

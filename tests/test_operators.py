@@ -139,6 +139,20 @@ def test_threshold_over_several_blocks(spark, monkeypatch):
     assert novelty.novelty_threshold(p).first().threshold == pytest.approx(np.quantile(nearest, 0.99), abs=1e-9) and asked == [1]
 
 
+def test_first_limits_are_found_once(spark, monkeypatch):
+    """Sizes are those of the rows as given: counting rows with limits would search for these a second time."""
+    p = spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(ball(2000, dim=4, seed=14))] + [(2000, None)], "id long, embedding array<double>")
+    q = p.withColumnRenamed("id", "qid").where("qid % 5 = 0")
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 4000)
+    counted = []
+    monkeypatch.setattr(type(p), "count", lambda self, of=type(p).count: counted.append(self.columns) or of(self))
+    monkeypatch.setattr(type(p), "agg", lambda self, *x, of=type(p).agg: counted.append(self.columns) or of(self, *x))
+    found = knn.geodesic_knn(q, p, 2, others=True)
+    assert counted and not any("most" in x for x in counted)
+    monkeypatch.undo()
+    assert pairs(found) == pairs(knn.geodesic_knn(q, p, 2, others=True))
+
+
 def test_many_pairs_leave_the_join(spark, prototypes, monkeypatch):
     q = prototypes.select(F.col("id").alias("qid"), "embedding")
     want = pairs(knn.geodesic_knn_sql(q, prototypes, 2))
