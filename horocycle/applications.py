@@ -30,7 +30,7 @@ def place_embeddings(queries: DataFrame, prototypes: DataFrame, scores: DataFram
     if mode not in ("flat", "hierarchical"):
         raise ValueError(f"unknown mode {mode!r}")
     place = placement.place_flat if mode == "flat" else placement.place_hierarchical
-    scores = queries.sparkSession.createDataFrame([], "rank int, score double") if scores is None else scores
+    scores = C.no_scores(queries.sparkSession) if scores is None else scores
     return placement.calibrated(place(queries, prototypes, k, kappa), scores)
 
 

@@ -49,6 +49,6 @@ def rank_of(name: str) -> int:
 
 
 def ranks_table(spark: SparkSession) -> DataFrame:
-    """The seven ranks as a table."""
-    schema = "rank int, name string, prefix string, rho double, q_accept double, q_fallback double, hplg_rho double, hplg_zeta double, hplg_accept double, hplg_fallback double, momentum double, min_obs int"
-    return spark.createDataFrame([tuple(r) for r in RANKS], schema)
+    """The seven ranks as a table, which the driver holds: rows of a Python list would start Python workers on every executor."""
+    rows = ", ".join("(" + ", ".join(f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else repr(x) for x in r) + ")" for r in RANKS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS ranks({', '.join(Rank._fields)})")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from horocycle.functions.constants import RANKS, ranks_table
@@ -21,6 +21,11 @@ def nonconformity_hplg(dist: Column, margin: Column, r: Column, rho: Column, zet
     return base if llr is None else base - zeta * F.coalesce(llr, F.lit(0.0))
 
 
+def no_scores(spark: SparkSession) -> DataFrame:
+    """``rank, score`` without rows, which the optimiser knows to be empty."""
+    return spark.sql("SELECT CAST(0 AS INT) AS rank, CAST(0 AS DOUBLE) AS score WHERE false")
+
+
 def order_statistic(scores: DataFrame, by: str, value: str, eps: float, least: int, name: str) -> DataFrame:
     """``by, name``: the ceil((n+1)(1-eps))-th smallest value per group, for groups of at least ``least``.
 

@@ -27,10 +27,12 @@ from horocycle.functions import geometry as G
 from horocycle.functions import numeric as N
 from horocycle.functions.constants import KAPPA, TOP_K
 
-#: Doubles in one block of prototypes: 64 MB on a worker.
-BLOCK_VALUES = 1 << 23
-#: Queries of a block where these are dealt, too, pairs of a task, and pairs of blocks for each core, that tasks may be even.
-QUERY_BLOCK, TASK_PAIRS, CORE_TASKS = 1 << 16, 1 << 28, 6
+#: Doubles in one block of prototypes, and of queries where these are dealt, too: 32 MB on a worker.
+BLOCK_VALUES = 1 << 22
+#: The same where there is nothing but one block: prototypes of a stream, or all ranks of a descent.
+WORKER_VALUES = 1 << 23
+#: Pairs of a task, and tasks for each core, that these may be even.
+TASK_PAIRS, CORE_TASKS = 1 << 28, 3
 #: Rows and columns of the bounds that are held at once (4 MB, near what a core caches), and exact distances that are computed at once.
 _ROWS, _COLUMNS, _EXACT = 1024, 1024, 1 << 15
 #: Distances that are held at once next to the rim.
@@ -38,7 +40,7 @@ _RIM = 1 << 20
 #: Up to so many points all distances are exact from the start.
 _FEW = 512
 #: Part of a block's size that is taken of the prototypes for the first limits: half by a hash, half those of least norm (often near).
-FIRST = 0.125
+FIRST = 0.25
 #: Pairs up to which the join in built-in expressions is planned.
 SQL_PAIRS = 1 << 20
 
@@ -293,7 +295,7 @@ def _values(points: DataFrame) -> tuple[int, int]:
 
 
 def fits_one_block(prototypes: DataFrame) -> bool:
-    return _values(prototypes)[1] <= BLOCK_VALUES
+    return _values(prototypes)[1] <= WORKER_VALUES
 
 
 Search = Callable[[Block, pa.Array, pa.Array], Iterable[pa.RecordBatch]]
@@ -324,14 +326,14 @@ def by_blocks(queries: DataFrame, prototypes: DataFrame, search: Search, kinds:
     prototypes = prototypes.select(F.col("id").cast(kind).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     schema = ", ".join(f"{name} {of}" for name, of in kinds.items())
     (there, size), mine = sizes or (_values(prototypes), None)
-    if size <= BLOCK_VALUES:
+    if size <= (WORKER_VALUES if queries.isStreaming else BLOCK_VALUES):
         return _by_one(queries, lambda: queries.count() * there, prototypes.toArrow(), search, schema), False
     if queries.isStreaming:
         raise ValueError("the prototypes of a stream must fit one block")
-    many = (mine or _values(queries))[0]
+    many, values = mine or _values(queries)
     across = 2 * math.ceil(size / BLOCK_VALUES)
     even = math.ceil(CORE_TASKS * queries.sparkSession.sparkContext.defaultParallelism / across)
-    down = max(math.ceil(many / QUERY_BLOCK), min(even, math.ceil(many / _ROWS)))
+    down = max(math.ceil(values / BLOCK_VALUES), min(even, math.ceil(many / _ROWS)))
     left = queries.select("*", F.pmod(F.xxhash64("qid"), F.lit(down)).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("_p"))
     right = prototypes.select("*", F.pmod(F.xxhash64("id"), F.lit(across)).alias("_p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("_q"))
     fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in T._parse_datatype_string(schema)])
@@ -387,7 +389,7 @@ def geodesic_others(points: DataFrame, k: int = TOP_K, kappa: float = KAPPA) ->
     if size <= BLOCK_VALUES:
         return geodesic_knn(rows, points, k, kappa, others=True)
     of, kind = dict(points.dtypes)["id"], "string" if dict(points.dtypes)["id"] == "string" else "bigint"
-    blocks = max(4 * math.ceil(size / BLOCK_VALUES), math.ceil(there / QUERY_BLOCK))
+    blocks = 2 * math.ceil(size / BLOCK_VALUES)
     mine = _limited(rows.withColumn("qid", F.col("qid").cast(kind)), points, there, size, k, kappa, True)
     mine = mine.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     low, high = F.least("_b", "_o"), F.greatest("_b", "_o")

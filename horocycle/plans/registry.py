@@ -86,7 +86,7 @@ _PLACED = X.KNN + f""", {X.LIMITS}, placed AS (
 @query(f"WITH {_PLACED} SELECT qid, taxon_id, round(best_distance, 6) AS best_distance, round(margin, 6) AS margin, round(atlas_r, 6) AS atlas_r, round(atlas_theta, 6) AS atlas_theta, round(score, 6) AS score, zone, CASE WHEN score <= qa THEN 1 WHEN score > qf THEN -1 ELSE 3 END AS prediction_set_size FROM zoned")
 def placement_flat_zones(spark, sf_dir):
     placed = placement.scored(_placed(spark, sf_dir))
-    none = spark.createDataFrame([], "rank int, score double")
+    none = C.no_scores(spark)
     out = C.annotate(placed, C.thresholds_with_defaults(none))
     return out.select("qid", "taxon_id", r6("best_distance", "best_distance"), r6("margin", "margin"), r6("atlas_r", "atlas_r"), r6("atlas_theta", "atlas_theta"), r6("score", "score"), "zone", "prediction_set_size")
 
@@ -96,7 +96,7 @@ def placement_flat_zones(spark, sf_dir):
     "round(avg((zone = 'accept')::INTEGER), 6) AS accept_rate, round(avg(best_distance), 6) AS mean_distance, round(quantile_cont(best_distance, 0.5), 6) AS median_distance, round(avg(margin), 6) AS mean_margin, round(quantile_cont(margin, 0.5), 6) AS median_margin FROM zoned"
 )
 def placement_summary(spark, sf_dir):
-    none = spark.createDataFrame([], "rank int, score double")
+    none = C.no_scores(spark)
     return placement.summary(C.annotate(placement.scored(_placed(spark, sf_dir)), C.thresholds_with_defaults(none)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from horocycle.functions import numeric as N
 from horocycle.functions import sequences as S
-from horocycle.functions.constants import rank_of
+from horocycle.functions.constants import RANKS, rank_of, ranks_table
 from horocycle.operators import calibration as C
 from horocycle.operators import chimera, hplg, knn, novelty, placement, projection, reference, tree
 
@@ -153,6 +153,26 @@ def test_first_limits_are_found_once(spark, monkeypatch):
     assert pairs(found) == pairs(knn.geodesic_knn(q, p, 2, others=True))
 
 
+def test_blocks_of_wide_queries_are_bounded(spark, monkeypatch):
+    """A block of queries is bounded by its doubles, as one of prototypes is, not by its rows."""
+    p = spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(ball(2000, dim=16))], "id long, embedding array<double>")
+    q = p.withColumnRenamed("id", "qid")
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 6000)
+    monkeypatch.setattr(knn, "CORE_TASKS", 1)
+    found = knn.by_blocks(q, p, lambda block, qid, z: [pa.RecordBatch.from_arrays([pa.array([len(qid)]), pa.array([len(block.keys)])], names=["q", "p"])], {"q": "bigint", "p": "bigint"})
+    calls = found[0].collect()
+    assert max(r.q for r in calls) * 16 < 1.5 * 6000 and max(r.p for r in calls) * 16 < 6000 and sum(r.q * r.p for r in calls) == 4_000_000
+
+
+def test_ranks_and_no_scores_start_no_python(spark):
+    t = C.thresholds_with_defaults(C.no_scores(spark))
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Exchange" not in plan
+    assert [tuple(r) for r in ranks_table(spark).orderBy("rank").collect()] == [tuple(r) for r in RANKS]
+    assert dict(ranks_table(spark).dtypes) == {x: {int: "int", float: "double", str: "string"}[type(v)] for x, v in RANKS[0]._asdict().items()}
+    assert C.no_scores(spark).dtypes == [("rank", "int"), ("score", "double")] and {r.n for r in t.collect()} == {0}
+
+
 def test_many_pairs_leave_the_join(spark, prototypes, monkeypatch):
     q = prototypes.select(F.col("id").alias("qid"), "embedding")
     want = pairs(knn.geodesic_knn_sql(q, prototypes, 2))
