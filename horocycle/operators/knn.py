@@ -389,7 +389,8 @@ def geodesic_others(points: DataFrame, k: int = TOP_K, kappa: float = KAPPA) ->
     if size <= BLOCK_VALUES:
         return geodesic_knn(rows, points, k, kappa, others=True)
     of, kind = dict(points.dtypes)["id"], "string" if dict(points.dtypes)["id"] == "string" else "bigint"
-    blocks = 2 * math.ceil(size / BLOCK_VALUES)
+    tasks = min(CORE_TASKS * points.sparkSession.sparkContext.defaultParallelism, math.ceil(there * there / 2 / TASK_PAIRS))
+    blocks = max(2 * math.ceil(size / BLOCK_VALUES), math.ceil((math.sqrt(8 * tasks + 1) - 1) / 2))
     mine = _limited(rows.withColumn("qid", F.col("qid").cast(kind)), points, there, size, k, kappa, True)
     mine = mine.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     low, high = F.least("_b", "_o"), F.greatest("_b", "_o")

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,17 @@ def test_ranks_and_no_scores_start_no_python(spark):
     assert C.no_scores(spark).dtypes == [("rank", "int"), ("score", "double")] and {r.n for r in t.collect()} == {0}
 
 
+def test_points_are_dealt_to_no_more_blocks_than_tasks_ask_for(spark, monkeypatch):
+    """Each block is a copy of every point: tasks that are even and of bounded blocks, but no more."""
+    p = spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(ball(5000, dim=4, seed=13))], "id long, embedding array<double>")
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 16_000)
+    want = pairs(knn.geodesic_others(p, 1))
+    for part, blocks in ((1, 4), (20, 6)):
+        monkeypatch.setattr(knn, "TASK_PAIRS", 5000 * 5000 // 2 // part)
+        found = knn.geodesic_others(p, 1)
+        assert f"pmod(xxhash64(qid, 42), {blocks})" in re.sub(r"#\d+L?|cast\((\w+) as bigint\)", r"\1", found._jdf.queryExecution().analyzed().toString()) and pairs(found) == want
+
+
 def test_many_pairs_leave_the_join(spark, prototypes, monkeypatch):
     q = prototypes.select(F.col("id").alias("qid"), "embedding")
     want = pairs(knn.geodesic_knn_sql(q, prototypes, 2))
