@@ -33,8 +33,9 @@ BLOCK_VALUES = 1 << 22
 WORKER_VALUES = 1 << 23
 #: Pairs of a task, and tasks for each core, that these may be even.
 TASK_PAIRS, CORE_TASKS = 1 << 28, 3
-#: Rows and columns of the bounds that are held at once (4 MB, near what a core caches), and exact distances that are computed at once.
-_ROWS, _COLUMNS, _EXACT = 1024, 1024, 1 << 15
+#: Rows and columns of the bounds that are held at once (4 MB, near what a core caches), and doubles of points whose exact distances
+#: are computed at once.
+_ROWS, _COLUMNS, _EXACT = 1024, 1024, 1 << 18
 #: Distances that are held at once next to the rim.
 _RIM = 1 << 20
 #: Up to so many points all distances are exact from the start.
@@ -105,8 +106,9 @@ class Screen:
 def _exactly(q: np.ndarray, nq: np.ndarray, points: np.ndarray, screen: Screen, row: np.ndarray, place: np.ndarray, kappa: float) -> tuple[np.ndarray, np.ndarray]:
     """(distance, what the screen bounds) of pairs."""
     sq = np.empty(len(row))
-    for lo in range(0, len(row), _EXACT):
-        at = slice(lo, lo + _EXACT)
+    step = max(1, _EXACT // max(1, q.shape[1]))
+    for lo in range(0, len(row), step):
+        at = slice(lo, lo + step)
         sq[at] = ((q[row[at]] - points[place[at]]) ** 2).sum(-1)
     return N.distance_from(sq, nq[row], screen.norms[place], kappa), np.maximum(sq, 1e-15) / screen.room[place]
 

@@ -3,6 +3,7 @@
 import json
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +186,17 @@ def test_points_are_dealt_to_no_more_blocks_than_tasks_ask_for(spark, monkeypatc
         assert f"pmod(xxhash64(qid, 42), {blocks})" in re.sub(r"#\d+L?|cast\((\w+) as bigint\)", r"\1", found._jdf.queryExecution().analyzed().toString()) and pairs(found) == want
 
 
+def test_exact_distances_hold_few_doubles_at_once():
+    z = ball(2000, dim=256, seed=15)
+    q, screen = z[:1000], knn.Screen(z, 1.25)
+    row, place = np.repeat(np.arange(1000), 40), np.tile(np.arange(2000), 20)
+    tracemalloc.start()
+    d, _ = knn._exactly(q, (q * q).sum(1), z, screen, row, place, 1.25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6 and d[::997] == pytest.approx([knn._every(q[i : i + 1], z[j : j + 1], 1, 1.25)[1][0, 0] for i, j in zip(row[::997], place[::997], strict=True)], abs=1e-9)
+
+
 def test_many_pairs_leave_the_join(spark, prototypes, monkeypatch):
     q = prototypes.select(F.col("id").alias("qid"), "embedding")
     want = pairs(knn.geodesic_knn_sql(q, prototypes, 2))
